@@ -1,0 +1,23 @@
+"""Schemas of the tables the operators exchange."""
+
+from __future__ import annotations
+
+FOOTPRINT = "crop string, year int, month int, cell_id bigint, wfp_blue_ir float"
+SCARCITY_WEIGHT = "month int, cell_id bigint, monthly_weight float"
+STRESS = "crop string, year int, month int, cell_id bigint, waterstress double"
+CFT_FRACTION = "year int, cell_id bigint, cft string, frac float, irrig_frac float"
+CROP_AREA = "crop string, cell_id bigint, harvarea float"
+CROP_CALENDAR = "crop string, system string, cell_id bigint, planting_day float, maturity_day float"
+AREA_MONTHLY = (
+    "crop string, year int, month int, cell_id bigint, harvested_area_irrigated float, "
+    "harvested_area_rainfed float, harvested_area_total float"
+)
+ZONES = "cell_id bigint, thz int, mst int"
+POLYGON_EDGES = "poly_id int, x1 double, y1 double, x2 double, y2 double"
+COUNTRY_NAMES = "poly_id int, country string, iso3 string"
+COUNTRY_CROP_YEAR = "year int, country string, crop string, value double"
+OOF = "fold int, time date, cell_id bigint, y_true double, y_pred double, y_pred_q10 double, y_pred_q90 double"
+EDGES = "i bigint, j bigint, value double"
+DEMAND = "i bigint, k bigint, value double"
+ACCOUNT = "year int, region int, sector int, value double"
+DECISIONS = "crop string, layer string, region int, adopted boolean, reason string"
