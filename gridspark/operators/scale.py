@@ -20,7 +20,6 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Rows of one value range that a single task orders. Beyond it the ranges are split further.
@@ -34,12 +33,20 @@ def one_row(df: DataFrame, *aggs: Column) -> Column:
 
 
 def literal_rows(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A fixed lookup table written out as literals, so Catalyst knows its size."""
-    fields = T._parse_datatype_string(schema).fields
-    structs = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A fixed lookup table as an inline table, so Catalyst knows its size."""
+
+    def text(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return repr(v)
+
+    fields = [part.split() for part in schema.split(",")]
+    values = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+    names = ", ".join(name for name, _ in fields)
+    typed = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
+    return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({names})")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
