@@ -199,7 +199,7 @@ def season_civil_months(t):
 
 @query(
     "annual_to_month",
-    "crop:s year:i month:i cell_id:i harvested_area_irrigated:7 harvested_area_rainfed:7 harvested_area_total:7",
+    "crop:s year:i month:i cell_id:i harvested_area_irrigated:9 harvested_area_rainfed:9 harvested_area_total:9",
     f"""WITH {LINES}, m(month, ms, me) AS (VALUES {MONTH_VALUES}),
     annual AS (SELECT crop, year, cell_id, sum(qty * discount) AS irr, sum(qty * tax) AS rain FROM lines GROUP BY ALL),
     cal AS (SELECT crop, status, cell_id, min(partkey % 366) AS p, max(suppkey * 5 % 366) AS q FROM lines
