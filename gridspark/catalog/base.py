@@ -53,11 +53,11 @@ def finish_sql(sql: str, out: str) -> str:
     cols = []
     for name, kind in _shape(out):
         if kind == "i":
-            cols.append(f"CAST({name} AS BIGINT) AS {name}")
+            cols.append(f'CAST("{name}" AS BIGINT) AS "{name}"')
         elif kind == "s":
-            cols.append(name)
+            cols.append(f'"{name}"')
         else:
-            cols.append(f"round(CAST({name} AS DOUBLE), {kind}) + 0.0 AS {name}")
+            cols.append(f'round(CAST("{name}" AS DOUBLE), {kind}) + 0.0 AS "{name}"')
     return f"SELECT {', '.join(cols)} FROM ({sql}) AS result"
 
 

@@ -1 +1,235 @@
+"""Supply-chain attribution on a network of 25 nations and three sectors."""
 
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import functions as F
+
+from gridspark.catalog.base import query
+from gridspark.operators import attribution
+from gridspark.operators.scale import literal_rows
+from gridspark.session import cut_lineage
+
+ROUNDS = 4
+
+
+class Network:
+    """Flows between (supplier nation, return flag) and (customer nation, part class)."""
+
+    def __init__(self, t):
+        self.t = t
+
+    @cached_property
+    def flows(self):
+        t = self.t
+        flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+        # Summed per order and supplier before the lookups.
+        sums = t.lineitem.groupBy(
+            "l_orderkey", "l_suppkey", flag.alias("s"), (F.col("l_partkey") % 3).alias("u"), (F.col("l_linenumber") == 1).alias("inner")
+        ).agg(F.sum("l_quantity").alias("value"), F.sum(F.col("l_quantity") * F.col("l_tax")).alias("load"))
+        buyers = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+            F.col("o_orderkey").alias("l_orderkey"), F.col("c_nationkey").alias("c")
+        )
+        makers = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("m"))
+        placed = sums.join(buyers, "l_orderkey").join(makers, "l_suppkey")
+        totals = placed.groupBy(
+            (F.col("m") * 3 + F.col("s")).cast("bigint").alias("i"),
+            (F.col("c") * 3 + F.col("u")).cast("bigint").alias("j"),
+            F.col("c").cast("bigint").alias("k"),
+            "inner",
+        ).agg(F.sum("value").alias("value"), F.sum("load").alias("load"))
+        # Every table below is read several times by the series.
+        return cut_lineage(totals)
+
+    @cached_property
+    def edges(self):
+        return self.flows.where("inner").groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+    @cached_property
+    def demand(self):
+        return self.flows.where("not inner").groupBy("i", "k").agg(F.sum("value").alias("value"))
+
+    @cached_property
+    def account(self):
+        return self.flows.groupBy("i").agg(F.sum("load").alias("value"))
+
+    @cached_property
+    def output(self):
+        return attribution.gross_output(self.edges, self.demand)
+
+    @cached_property
+    def prepared(self):
+        return attribution.prepare(self.edges, self.demand, self.account)
+
+    @property
+    def a(self):
+        return self.prepared[0]
+
+    @property
+    def d(self):
+        return self.prepared[2]
+
+    @cached_property
+    def nodes(self):
+        """Sector 1 is the target."""
+        sectors = F.explode(F.array(*[F.lit(s) for s in range(3)])).alias("sector")
+        named = self.t.nation.select(F.col("n_nationkey").cast("bigint").alias("region"), sectors)
+        return named.select(
+            (F.col("region") * 3 + F.col("sector")).alias("i"), "region", "sector", (F.col("sector") == 1).alias("is_target")
+        )
+
+
+NET = """f AS (SELECT s_nationkey * 3 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS i, c_nationkey * 3 + l_partkey % 3 AS j, c_nationkey AS k,
+      l_linenumber = 1 AS inn, l_quantity AS v, l_quantity * l_tax AS load FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+      JOIN supplier ON l_suppkey = s_suppkey),
+    z AS (SELECT i, j, sum(v) AS v FROM f WHERE inn GROUP BY ALL), y AS (SELECT i, k, sum(v) AS v FROM f WHERE NOT inn GROUP BY ALL),
+    x AS (SELECT i, sum(v) AS x FROM (SELECT i, v FROM z UNION ALL SELECT i, v FROM y) GROUP BY i),
+    a AS (SELECT z.i, z.j, z.v / CASE WHEN x > 0 THEN x ELSE 1 END AS a FROM z LEFT JOIN x ON x.i = z.j),
+    d AS (SELECT g.i, load / x AS d FROM (SELECT i, sum(load) AS load FROM f GROUP BY i) g JOIN x USING (i)),
+    ao AS (SELECT * FROM a WHERE i % 3 <> 1 AND j % 3 <> 1)"""
+
+
+def unrolled(name: str, start: str, matrix: str, keys: str, rounds: int = ROUNDS) -> str:
+    """CTEs of a truncated power series."""
+    parts = [f"{name}0 AS ({start})"]
+    renamed = ", ".join(f"p.{k.strip()}" for k in keys.split(","))
+    for n in range(1, rounds + 1):
+        parts.append(
+            f"{name}{n} AS (SELECT m.i, {renamed}, sum(m.a * p.v) AS v FROM {name}{n - 1} p JOIN {matrix} m ON m.j = p.i GROUP BY ALL)"
+        )
+    union = " UNION ALL ".join(f"SELECT i, {keys}, v FROM {name}{n}" for n in range(rounds + 1))
+    parts.append(f"{name} AS (SELECT i, {keys}, sum(v) AS v FROM ({union}) GROUP BY ALL)")
+    return ", ".join(parts)
+
+
+DIRECT = unrolled("dr", "SELECT i, i % 3 AS t, k, v FROM y WHERE i % 3 = 1", "a", "t, k")
+OTHER = unrolled("ot", "SELECT i, i % 3 AS s, k, v FROM y WHERE i % 3 <> 1", "ao", "s, k")
+HANDED = unrolled("hd", "SELECT a.i, a.i % 3 AS t, s, k, sum(a.a * ot.v) AS v FROM ot JOIN a ON a.j = ot.i WHERE a.i % 3 = 1 GROUP BY ALL", "a", "t, s, k")
+
+
+@query("gross_output", "i:i x:2", f"WITH {NET} SELECT i, x FROM x")
+def gross_output(t):
+    return Network(t).output
+
+
+@query("tech_coefficients", "i:i j:i a:9", f"WITH {NET} SELECT i, j, a FROM a")
+def tech_coefficients(t):
+    return Network(t).a
+
+
+@query("intensity", "i:i d:9", f"WITH {NET} SELECT i, d FROM d")
+def intensity(t):
+    return Network(t).d
+
+
+@query(
+    "target_nodes",
+    "is_target:s n:i x:2",
+    f"WITH {NET} SELECT i % 3 = 1 AS is_target, count(*) AS n, sum(x) AS x FROM x GROUP BY ALL",
+)
+def target_nodes(t):
+    net = Network(t)
+    chosen = attribution.target_sectors({"one": [1], "again": [1]})
+    nodes = net.output.withColumn("is_target", (F.col("i") % 3).isin(chosen))
+    return nodes.groupBy("is_target").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"))
+
+
+@query(
+    "demand_groups",
+    "i:i k:s value:2",
+    f"""WITH {NET}, g AS (SELECT i, 'low' AS k, v FROM y WHERE k < 10 UNION ALL SELECT i, 'even', v FROM y WHERE k % 2 = 0 UNION ALL SELECT i, 'world', v FROM y)
+    SELECT i, k, sum(v) AS value FROM g GROUP BY ALL""",
+)
+def demand_groups(t):
+    groups = {"low": list(range(10)), "even": list(range(0, 25, 2)), "world": "all"}
+    return attribution.demand_groups(Network(t).demand, groups)
+
+
+@query(
+    "series_requirements",
+    "i:i v:4",
+    f"""WITH {NET}, {unrolled('sr', "SELECT i, 0 AS one, sum(v) AS v FROM y GROUP BY i", "a", "one")} SELECT i, v FROM sr""",
+)
+def series_requirements(t):
+    net = Network(t)
+    start = net.demand.groupBy("i").agg(F.sum("value").alias("v"))
+    return attribution.series(net.a, start, [], rounds=ROUNDS, tolerance=None)
+
+
+@query(
+    "footprint_direct",
+    "preg:i psec:i tsec:i fssec:i k:i value:6",
+    f"""WITH {NET}, {DIRECT} SELECT dr.i // 3 AS preg, dr.i % 3 AS psec, t AS tsec, t AS fssec, k, d * v AS value FROM dr JOIN d USING (i) WHERE d * v > 0""",
+)
+def footprint_direct(t):
+    net = Network(t)
+    return attribution.direct_slot(net.a, net.demand, net.nodes, net.d, rounds=ROUNDS, tolerance=None)
+
+
+@query(
+    "footprint_indirect",
+    "preg:i psec:i tsec:i fssec:i k:i value:6",
+    f"""WITH {NET}, {OTHER}, {HANDED} SELECT hd.i // 3 AS preg, hd.i % 3 AS psec, t AS tsec, s AS fssec, k, d * v AS value FROM hd JOIN d USING (i) WHERE d * v > 0""",
+)
+def footprint_indirect(t):
+    net = Network(t)
+    return attribution.indirect_slot(net.a, net.demand, net.nodes, net.d, rounds=ROUNDS, tolerance=None)
+
+
+@query(
+    "footprint_remaining",
+    "preg:i psec:i fssec:i k:i value:6",
+    f"""WITH {NET}, {OTHER} SELECT ot.i // 3 AS preg, ot.i % 3 AS psec, s AS fssec, k, d * v AS value FROM ot JOIN d USING (i) WHERE d * v > 0""",
+)
+def footprint_remaining(t):
+    net = Network(t)
+    return attribution.remaining(net.a, net.demand, net.nodes, net.d, rounds=ROUNDS, tolerance=None)
+
+
+@query(
+    "household_slot",
+    "preg:i k:s value:4",
+    """WITH h AS (SELECT c_nationkey AS r, sum(c_acctbal) AS v FROM customer GROUP BY ALL)
+    SELECT r AS preg, 'low' AS k, v AS value FROM h WHERE r < 10 UNION ALL SELECT r, 'all', v FROM h""",
+)
+def household_slot(t):
+    direct = t.customer.groupBy(F.col("c_nationkey").alias("region")).agg(F.sum("c_acctbal").alias("value"))
+    return attribution.household(direct, {"low": list(range(10)), "all": "all"})
+
+
+@query(
+    "footprint_balance",
+    "expected:4 household:2 rel_error:3 ok:s",
+    f"""WITH {NET}, h AS (SELECT sum(c_acctbal) AS h FROM customer)
+    SELECT (SELECT sum(d * x) FROM d JOIN x USING (i)) + h AS expected, h AS household, 0.0 AS rel_error, true AS ok FROM h""",
+)
+def footprint_balance(t):
+    net = Network(t)
+    kw = {"rounds": 8, "tolerance": 1e-6}
+    home = attribution.household(t.customer.groupBy(F.col("c_nationkey").alias("region")).agg(F.sum("c_acctbal").alias("value")))
+    both = attribution.footprints(net.a, net.demand, net.nodes, net.d, **kw)
+    rest = attribution.remaining(net.a, net.demand, net.nodes, net.d, **kw)
+    return attribution.balance(both, rest, net.d, net.output, home)
+
+
+@query(
+    "dashboard_flows",
+    "crop:s target_sector:s production_country:s consumption_country:s impact_type:s value:5",
+    f"""WITH {NET}, {DIRECT}, {OTHER}, {HANDED},
+    u AS (SELECT dr.i, k, d * v AS direct, 0.0 AS indirect FROM dr JOIN d USING (i) UNION ALL SELECT hd.i, k, 0.0, d * v FROM hd JOIN d USING (i)),
+    s AS (SELECT i, k, sum(direct) AS direct, sum(indirect) AS indirect FROM u GROUP BY ALL HAVING abs(sum(direct)) >= 1e-10 OR abs(sum(indirect)) >= 1e-10),
+    g AS (SELECT CASE i % 3 WHEN 0 THEN 'grain' ELSE 'fruit' END AS crop, 'target' AS target_sector, CASE WHEN i // 3 < 23 THEN 'W' || CAST(i // 3 % 5 AS VARCHAR) ELSE 'Unknown' END AS p,
+       CASE WHEN k < 23 THEN 'W' || CAST(k % 5 AS VARCHAR) ELSE 'Unknown' END AS c, sum(direct) AS direct, sum(indirect) AS indirect FROM s WHERE i % 3 < 2 GROUP BY ALL)
+    SELECT crop, target_sector, p AS production_country, c AS consumption_country, 'direct' AS impact_type, direct AS value FROM g
+    UNION ALL SELECT crop, target_sector, p, c, 'indirect', indirect FROM g UNION ALL SELECT crop, target_sector, p, c, 'total', direct + indirect FROM g""",
+)
+def dashboard_flows(t):
+    net = Network(t)
+    both = attribution.footprints(net.a, net.demand, net.nodes, net.d, rounds=ROUNDS, tolerance=None)
+    crops = literal_rows(t.spark, [(0, "grain"), (1, "fruit")], "sector int, crop string")
+    targets = literal_rows(t.spark, [(1, "target")], "sector int, target_sector string")
+    groups = t.nation.where(F.col("n_nationkey") < 23).select(
+        F.col("n_nationkey").cast("bigint").alias("region"), F.concat(F.lit("W"), (F.col("n_nationkey") % 5).cast("string")).alias("region_group")
+    )
+    return attribution.dashboard(both, crops, targets, groups)

@@ -2,13 +2,17 @@
 
 A node is one number per (region, sector). Tables: ``edges(i, j, value)`` is what ``i`` delivers to
 ``j``; ``demand(i, k, value)`` what ``i`` delivers to final consumers ``k``. Total requirements are
-power series: one join and one aggregation per term, for all right-hand sides at once.
+power series: one join and one aggregation per round, for all right-hand sides at once.
+
+The operators read coefficients, demand, nodes and intensities many times. Pass materialised tables
+(``prepare`` or written Parquet), not the joins they come from.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +66,13 @@ def demand_groups(demand: DataFrame, regions: dict[str, Sequence[int] | str] | s
     return grouped.groupBy("i", "k").agg(F.sum("value").alias("value"))
 
 
+def prepare(edges: DataFrame, demand: DataFrame, account: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Materialised coefficients, demand, intensities and gross output of a network."""
+    edges, demand = cut_lineage(edges), cut_lineage(demand)
+    output = cut_lineage(gross_output(edges, demand))
+    return cut_lineage(technical_coefficients(edges, output)), demand, cut_lineage(intensities(account, output)), output
+
+
 def series(
     coefficients: DataFrame,
     start: DataFrame,
@@ -71,30 +82,35 @@ def series(
     prune: float = 0.0,
     checkpoint_every: int = 4,
 ) -> DataFrame:
-    """``(I + A + A^2 + ...) b`` for every right-hand side: ``i, *rhs, v``.
-
-    ``start`` has ``i, *rhs, v``. Stops after ``rounds`` terms or once a term's largest value is below
-    ``tolerance`` times the start's. Terms below ``prune`` are left out (0 keeps everything). Terms are
-    materialised every few rounds, so the plan stays short and survives lost executors; with
-    ``tolerance=None`` and few rounds the whole series is one lazy plan.
+    """``(I + A + ... + A^rounds) b`` for every right-hand side: ``i, *rhs, v``.
+
+    Nested evaluation, ``s = b + A s``: each round is one join with the coefficients and one
+    aggregation, and nothing but ``s`` is carried along. ``start`` has ``i, *rhs, v``, not negative.
+    With a tolerance, ``s`` is materialised every few rounds, which keeps the plan short and survives
+    lost executors, and the rounds end once its sum grows by less than that share; the coefficients
+    are then laid out by their column once, so a round shuffles only ``s``. With ``tolerance=None``
+    the rounds are one lazy plan. Entries at or below ``prune`` are left out (0 keeps everything).
     """
     rhs = list(rhs)
-    term = total = start.groupBy("i", *rhs).agg(F.sum("v").alias("v"))
+    b = start.groupBy("i", *rhs).agg(F.sum("v").alias("v"))
     a = coefficients.select(F.col("i").alias("_to"), F.col("j").alias("i"), "a")
-    first = None
+    if tolerance is not None:
+        b = cut_lineage(b)
+        parts = int(coefficients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        a = a.repartition(parts, "i").persist(StorageLevel.MEMORY_AND_DISK)
+    s, before = b, None
     for n in range(1, rounds + 1):
-        stepped = term.join(a, "i").groupBy(F.col("_to").alias("i"), *rhs).agg(F.sum(F.col("a") * F.col("v")).alias("v"))
-        term = stepped.where(F.abs("v") > prune)
-        total = total.unionByName(term)
-        if tolerance is not None and n % checkpoint_every == 0:
-            term = cut_lineage(term)
-            total = cut_lineage(total.groupBy("i", *rhs).agg(F.sum("v").alias("v")))
-            if first is None:
-                first = start.agg(F.max(F.abs("v"))).first()[0] or 0.0
-            largest = term.agg(F.max(F.abs("v"))).first()[0]
-            if largest is None or largest <= tolerance * first:
+        stepped = s.join(a, "i").select(F.col("_to").alias("i"), *rhs, (F.col("a") * F.col("v")).alias("v"))
+        s = stepped.unionByName(b).groupBy("i", *rhs).agg(F.sum("v").alias("v")).where(F.abs("v") > prune)
+        if tolerance is not None and (n % checkpoint_every == 0 or n == rounds):
+            s = cut_lineage(s)
+            total = s.agg(F.sum("v")).first()[0] or 0.0
+            if before is not None and total - before <= tolerance * total:
                 break
-    return total.groupBy("i", *rhs).agg(F.sum("v").alias("v"))
+            before = total
+    if tolerance is not None:
+        a.unpersist()
+    return s
 
 
 def outside(coefficients: DataFrame, nodes: DataFrame) -> DataFrame:

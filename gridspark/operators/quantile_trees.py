@@ -124,15 +124,15 @@ def fit_quantile_trees(
         for n in range(params.rounds):
             graded = current.withColumn("_g", F.lit(q) - (F.col("_y") < F.col("_f")).cast("double"))
             sample = graded.sample(params.subsample, seed=params.seed + n) if params.subsample < 1 else graded
-            tree = DecisionTreeRegressor(
+            learner = DecisionTreeRegressor(
                 featuresCol="_vec",
                 labelCol="_g",
-                weightCol="_w" if weight else None,
                 maxDepth=params.depth,
                 maxBins=params.bins,
                 minInstancesPerNode=params.min_rows,
                 seed=params.seed + n,
-            ).fit(sample)
+            )
+            tree = (learner.setWeightCol("_w") if weight else learner).fit(sample)
             leafed = _leaf(tree, current, "_vec", "_leaf").withColumn("_r", F.col("_y") - F.col("_f"))
             # At most 2 ** depth rows.
             found = {int(r["_leaf"]): r["_q"] for r in quantiles(leafed, ["_leaf"], "_r").collect()}

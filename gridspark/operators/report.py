@@ -72,7 +72,7 @@ def share_tables(flows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     joined = null_safe_join(sums, totals, [*keys, "scope", "panel"], "inner")
     percent = F.when(F.col("total_value") != 0, F.col("value") / F.col("total_value") * 100)
     return joined.withColumn("percent", percent).withColumn(
-        "percent_label", F.concat(F.format_number("percent", "0.#"), F.lit("%"))
+        "percent_label", F.concat(F.expr("format_number(round(percent, 1), '0.#')"), F.lit("%"))
     )
 
 
