@@ -88,6 +88,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def plain(value: Column) -> Column:
+    """A double with one zero: -0.0 and 0.0 compare equal but may fail to meet as join keys."""
+    value = value.cast("double")
+    return F.when(value == 0, F.lit(0.0)).otherwise(value)
+
+
 def value_ranges(df: DataFrame, value: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Number the value range of each row; ranges hold about ``range_rows`` rows at most.
 
@@ -121,7 +127,7 @@ def cumulative_mass(
     mass = F.count(F.lit(1)) if mass is None else F.sum(mass)
     values = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias(value))
+        .groupBy(*keys, plain(F.col(value)).alias(value))
         .agg(mass.alias("mass"))
     )
     ranged = value_ranges(values, value, "_range", range_rows)
@@ -200,7 +206,7 @@ def spearman(
     """Rank correlation with average ranks, from distinct (x, y) pairs and their counts."""
     pairs = (
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+        .groupBy(*keys, plain(F.col(x)).alias(x), plain(F.col(y)).alias(y))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ranks = []
@@ -236,17 +242,16 @@ def top_by(
 ) -> DataFrame:
     """Flag the ``limit`` rows per key with the largest ``value``; ties go to the smallest ``tiebreak``.
 
-    ``limit`` is a per-key column and ``tiebreak`` a numeric column that is unique within the key.
+    ``limit`` is a per-key column and ``tiebreak`` a whole number below 2^53, unique within the key.
     Values above the cut need no order; only the rows tied at the cut are ranked among themselves.
     """
-    cut = cumulative_mass(df, keys, value, descending=True, range_rows=range_rows).drop("total")
-    staged = null_safe_join(df, cut, [*keys, value], "left")
+    rows = df.withColumns({"_v": plain(F.col(value)), "_t": plain(F.col(tiebreak))})
+    cut = cumulative_mass(rows.select(*keys, "_v"), keys, "_v", descending=True, range_rows=range_rows).drop("total")
+    staged = null_safe_join(rows, cut, [*keys, "_v"], "left")
     whole = F.col("before") + F.col("mass") <= F.col(limit)
     partial = (F.col("before") < F.col(limit)) & ~whole
-    ties = staged.where(partial).select(*keys, tiebreak)
-    order = cumulative_mass(ties, keys, tiebreak, range_rows=range_rows).select(
-        *keys, tiebreak, F.col("before").alias("_tie")
-    )
-    flagged = null_safe_join(staged, order, [*keys, tiebreak], "left")
+    ties = staged.where(partial).select(*keys, "_t")
+    order = cumulative_mass(ties, keys, "_t", range_rows=range_rows).select(*keys, "_t", F.col("before").alias("_tie"))
+    flagged = null_safe_join(staged, order, [*keys, "_t"], "left")
     chosen = whole | (partial & (F.col("before") + F.col("_tie") < F.col(limit)))
-    return flagged.withColumn(out, F.coalesce(chosen, F.lit(False))).drop("before", "mass", "_tie")
+    return flagged.withColumn(out, F.coalesce(chosen, F.lit(False))).drop("before", "mass", "_tie", "_v", "_t")
