@@ -8,6 +8,7 @@ from gridspark.catalog.base import LINES, query
 from gridspark.functions import taxonomy
 from gridspark.operators import mapping
 from gridspark.operators.scale import literal_rows
+from gridspark.session import cut_lineage
 
 # Regions of the driver's nations: every nation but the last three belongs to one.
 SECTORS = ["s0", "s1", "s2", "s3", "s4"]
@@ -23,7 +24,8 @@ def country_values(t):
         F.col("s_suppkey").alias("suppkey"), F.col("n_name").alias("country")
     )
     sums = t.lines.groupBy("year", "partkey", "suppkey").agg(F.sum("price").alias("value"))
-    return sums.join(parts, "partkey").join(names, "suppkey").groupBy("year", "country", "crop").agg(F.sum("value").alias("value"))
+    values = sums.join(parts, "partkey").join(names, "suppkey").groupBy("year", "country", "crop").agg(F.sum("value").alias("value"))
+    return cut_lineage(values)
 
 
 CROP_LIST = "[" + ", ".join(f"'{c}'" for c in taxonomy.CROPS) + "]"
@@ -92,7 +94,7 @@ DETAIL = f"""regions AS (SELECT n_name AS country, 'R' || CAST(n_nationkey % 10
 
 def sector_values(t):
     crop_map = literal_rows(t.spark, CROP_MAP, "crop string, crop_group string, sector string")
-    return mapping.sector_values(detailed(t), crop_map, regions(t))
+    return cut_lineage(mapping.sector_values(detailed(t), crop_map, regions(t)))
 
 
 @query("split_weights_rolling", "region:s crop_group:s sector:s year:i weight:8", f"WITH {DETAIL} SELECT * FROM rolling")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridspark.catalog.base import LINES, query
 from gridspark.operators import cascade, correction, evaluation, validation
 from gridspark.operators.scale import literal_rows, spearman
+from gridspark.session import cut_lineage
 
 
 def predictions(t):
@@ -22,10 +23,12 @@ def predictions(t):
     y = F.when(F.col("cell_id") % 9 == 0, 0.0).otherwise(F.col("p") / 1e4)
     g = F.round(F.col("q") * 0.11 * ((F.col("cell_id") % 5) * 0.1 + 0.8), 6)
     r = g + (F.col("month") - 6) * 0.05
-    return named.select(
+    table = named.select(
         "crop", "country", "cell_id", "year", "month", y.alias("y_true"), g.alias("y_pred"), r.alias("y_gr"),
         (r + F.col("cell_id") % 3).alias("y_gre"), (g * 0.7).alias("q10"), (g * 1.25).alias("q90"),
     )
+    # Scores read the prediction table several times, as they would a written one.
+    return cut_lineage(table)
 
 
 PRED = f"""{LINES}, raw AS (SELECT crop, CASE WHEN n_nationkey % 12 <> 0 THEN n_name END AS country, cell_id, year, month, sum(price) AS p, sum(qty) AS q

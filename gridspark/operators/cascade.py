@@ -108,6 +108,11 @@ def _parts(df, folds, fold, date):
     return train, test
 
 
+def _folds(df: DataFrame, plan: FoldPlan) -> DataFrame:
+    """Temporal folds as a materialised lookup of dates."""
+    return cut_lineage(validation.temporal_folds(df, plan.date, (), plan.test_months, plan.min_train))
+
+
 def _fold_numbers(folds: DataFrame) -> list[int]:
     return sorted(r[0] for r in folds.select("fold").distinct().collect())
 
@@ -160,7 +165,7 @@ def train_global(
     With ``grid`` every fold is tuned by spatial folds of ``group`` inside its training rows.
     """
     features = list(features)
-    folds = validation.temporal_folds(df, plan.date, (), plan.test_months, plan.min_train)
+    folds = _folds(df, plan)
     numbers = _fold_numbers(folds)
     oof, tuned, importance = None, [], []
     for fold in numbers:
@@ -236,7 +241,8 @@ def train_regional(
 
     ``only`` retrains just those regions on all rows without new decisions (the full-record retrain).
     """
-    base = layer.transform(df).withColumn("_res", F.col(y) - F.col("g_q50"))
+    # Every region and fold reads these rows again.
+    base = cut_lineage(layer.transform(df).withColumn("_res", F.col(y) - F.col("g_q50")))
     counts = base.groupBy(region).agg(
         F.count(F.lit(1)).alias("n_samples"), F.avg((F.col(y) == 0).cast("double")).alias("zero_share")
     )
@@ -252,7 +258,7 @@ def train_regional(
             continue
         record = {"region": key, "n_samples": n, "zero_share": zeros, "base_r2": None, "base_nrmse": None, "new_nrmse": None}
         if n >= min_samples and zeros <= 0.9:
-            folds = validation.temporal_folds(mine, plan.date, (), plan.test_months, plan.min_train)
+            folds = _folds(mine, plan)
             best = params
             if grid:
                 chosen, _ = sweep(
@@ -351,7 +357,7 @@ def train_extreme(
     features = list(features)
     floored = df.withColumn(base, F.greatest(F.col(base), F.lit(0.0)))
     labelled = correction.label_extremes(floored, [region], y, base)
-    rows = assemble(labelled, features, "_vec", MISSING).withColumn("_res", F.col(y) - F.col(base))
+    rows = cut_lineage(assemble(labelled, features, "_vec", MISSING).withColumn("_res", F.col(y) - F.col(base)))
     summary = rows.groupBy(region).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col("is_under"), 1)).alias("n_under"),
@@ -375,7 +381,7 @@ def train_extreme(
             reason = "insufficient_extremes"
         folds = None
         if reason is None:
-            folds = validation.temporal_folds(mine, plan.date, (), plan.test_months, plan.min_train)
+            folds = _folds(mine, plan)
             if not _fold_numbers(folds):
                 reason = "no_cv_splits"
         if reason is not None:
@@ -433,6 +439,7 @@ def _extreme_folds(mine, folds, date, region, row_id, y, base, setting, limits):
             old["r2"].alias("r2_base"),
             new["r2"].alias("r2_final"),
         )
+        part = cut_lineage(part)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -447,8 +454,7 @@ def score_cascade(
     else:
         scored = scored.withColumns({f"gr_q{round(q * 100)}": F.col(f"g_q{round(q * 100)}") for q in QUANTILES})
     if extreme is not None and extreme.detectors:
-        # Later steps read the scored rows several times.
-        return extreme.transform(cut_lineage(scored), row_id, region)
+        return extreme.transform(scored, row_id, region)
     return scored.withColumn("gre_q50", F.col("gr_q50"))
 
 

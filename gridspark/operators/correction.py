@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.operators.scale import exact_quantiles, null_safe_join, top_by
+from gridspark.session import cut_lineage
 
 
 def supplement(base: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,14 +71,16 @@ def bounded_correction(
     Rows at or above the probability threshold are eligible; beyond ``max_share`` of all rows only the
     most probable are corrected (ties by ``row_id``). A correction is cut to a share of its base; if
     the total would move by more than ``tolerance`` all corrections shrink by one factor; negative
-    results become 0 last.
+    results become 0 last. The input is materialised once, because totals, cut and result each read it.
     """
+    df = cut_lineage(df)
+    size = df.count()
     counts = df.groupBy(*keys).agg(
         F.floor(F.count(F.lit(1)) * max_share).alias("_cap"), F.sum(base).alias("_sum_base")
     )
     eligible = df.where(F.col(prob) >= threshold).select(*keys, row_id, prob)
     limited = null_safe_join(eligible, counts.select(*keys, "_cap"), keys, "inner")
-    chosen = top_by(limited, keys, prob, row_id, "_cap", "_chosen").where("_chosen").select(*keys, row_id, "_chosen")
+    chosen = top_by(limited, keys, prob, row_id, "_cap", "_chosen", size=size).where("_chosen").select(*keys, row_id, "_chosen")
     marked = null_safe_join(df, chosen, [*keys, row_id], "left")
     limit = F.abs(base) * max_relative
     bounded = F.greatest(-limit, F.least(limit, F.col(correction)))

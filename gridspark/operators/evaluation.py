@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import scores
 from gridspark.operators.scale import exact_quantiles, null_safe_join
+from gridspark.session import cut_lineage
 
 
 def regression_scores(df: DataFrame, keys: Sequence[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -110,7 +111,7 @@ LEVELS = {
 def level_sums(df: DataFrame, layers: dict[str, str], y: str = "y_true", all_crops: bool = True) -> DataFrame:
     """Truth and every layer summed at the five levels: ``crop, level, <layer sums>, y_true``.
 
-    The grid-month table is summed once; each coarser level is an aggregate of it. Rows without a
+    The grid-month table is summed once and materialised; each coarser level is an aggregate of it. Rows without a
     country take no part in country levels. ``all_crops`` adds the sum over crops as crop ``all``.
     """
     values = [y, *layers.values()]
@@ -119,6 +120,7 @@ def level_sums(df: DataFrame, layers: dict[str, str], y: str = "y_true", all_cro
     if all_crops:
         total = base.groupBy("country", "cell_id", "year", "month").agg(*sums).withColumn("crop", F.lit("all"))
         base = base.unionByName(total)
+    base = cut_lineage(base)
     out = None
     for level, keys in LEVELS.items():
         rows = base.where(F.col("country").isNotNull()) if "country" in keys else base

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import taxonomy
 from gridspark.operators.scale import exact_quantiles, literal_rows, null_safe_join, one_row, share_of, spearman
+from gridspark.session import cut_lineage
 
 
 def merge_history(history: DataFrame, prediction: DataFrame, rule: str = "keep_historical") -> DataFrame:
@@ -244,7 +245,9 @@ def account_agreement(ours: DataFrame, theirs: DataFrame, keys: Sequence[str] =
         .groupBy(*keys, "region", "sector")
         .agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("b"))
     )
-    regions = cells.groupBy(*keys, "region").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # Both levels are read by every score.
+    cells = cut_lineage(cells)
+    regions = cut_lineage(cells.groupBy(*keys, "region").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     either = (F.col("a") > 0) | (F.col("b") > 0)
     both = (F.col("a") > 0) & (F.col("b") > 0)
 

@@ -108,11 +108,12 @@ def fit_quantile_trees(
         columns.append(F.col(weight).cast("double").alias("_w"))
     base = assemble(df, features, "_vec", MISSING).where(F.col(y).isNotNull()).select("_vec", *columns)
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = base.count()
 
     def quantiles(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         if weight:
-            return weighted_quantile(rows, keys, value, "_w", q, "_q")
-        return exact_quantiles(rows, keys, value, {"_q": q})
+            return weighted_quantile(rows, keys, value, "_w", q, "_q", rows=n_rows)
+        return exact_quantiles(rows, keys, value, {"_q": q}, rows=n_rows)
 
     first = quantiles(base, [], "_y").first()
     if first is None or first[0] is None:

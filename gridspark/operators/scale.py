@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridspark.session import cut_lineage
+
 # Rows of one value range that a single task orders. Beyond it the ranges are split further.
 RANGE_ROWS = 2_000_000
 MAX_RANGES = 4096
@@ -94,13 +96,17 @@ def plain(value: Column) -> Column:
     return F.when(value == 0, F.lit(0.0)).otherwise(value)
 
 
-def value_ranges(df: DataFrame, value: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+def value_ranges(
+    df: DataFrame, value: str, out: str, range_rows: int = RANGE_ROWS, rows: int | None = None
+) -> DataFrame:
     """Number the value range of each row; ranges hold about ``range_rows`` rows at most.
 
     Only the boundaries (at most ``MAX_RANGES`` doubles) reach the driver. They are literals in the
-    plan, so every branch that uses the column agrees on it.
+    plan, so every branch that uses the column agrees on it. ``rows`` is an upper bound of the row
+    count, for callers that know one; otherwise rows are counted.
     """
-    rows = df.count()
+    if rows is None or rows > range_rows:
+        rows = df.count()
     n = min(MAX_RANGES, -(-rows // range_rows))
     if n <= 1:
         return df.withColumn(out, F.lit(0))
@@ -119,18 +125,36 @@ def cumulative_mass(
     mass: Column | None = None,
     descending: bool = False,
     range_rows: int = RANGE_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Distinct values per key with their mass and the mass strictly before them.
 
-    Returns ``keys, value, mass, before, total``. ``mass`` defaults to the row count.
+    Returns ``keys, value, mass, before, total``. ``mass`` defaults to the row count; ``rows`` is a
+    known upper bound of the row count.
     """
+    values = value_masses(df, keys, value, mass)
+    if rows is None:
+        values = cut_lineage(values)
+    return order_masses(values, keys, value, descending, range_rows, rows)
+
+
+def value_masses(df: DataFrame, keys: Sequence[str], value: str, mass: Column | None = None) -> DataFrame:
+    """Distinct values per key with their row count or summed mass; ties shrink before any shuffle."""
     mass = F.count(F.lit(1)) if mass is None else F.sum(mass)
-    values = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, plain(F.col(value)).alias(value))
-        .agg(mass.alias("mass"))
-    )
-    ranged = value_ranges(values, value, "_range", range_rows)
+    valid = df.where(F.col(value).isNotNull())
+    return valid.groupBy(*keys, plain(F.col(value)).alias(value)).agg(mass.alias("mass"))
+
+
+def order_masses(
+    values: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    descending: bool = False,
+    range_rows: int = RANGE_ROWS,
+    rows: int | None = None,
+) -> DataFrame:
+    """Mass before each distinct value and total per key, range by range."""
+    ranged = value_ranges(values, value, "_range", range_rows, rows)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     inside = Window.partitionBy(*keys, "_range").orderBy(direction(value))
     local = ranged.withColumn("_run", F.sum("mass").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
@@ -160,17 +184,22 @@ def exact_quantiles(
     value: str,
     quantiles: dict[str, float],
     range_rows: int = RANGE_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per key, exact at any group size.
 
-    Inputs below ``range_rows`` rows use the built-in ``percentile``; larger ones are selected by
-    rank from value ranges, so no task ever holds the values of a whole group.
+    The input is read once, as distinct values with counts. Up to ``range_rows`` of those use the
+    built-in ``percentile``; more are selected by rank from value ranges, so no task ever holds the
+    values of a whole group. ``rows`` is a known upper bound of the row count and saves counting.
     """
-    clean = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
-    if clean.limit(range_rows + 1).count() <= range_rows:
-        aggs = [F.percentile(value, F.lit(p)).alias(name) for name, p in quantiles.items()]
-        return clean.groupBy(*keys).agg(*aggs)
-    ranked = cumulative_mass(clean, keys, value, range_rows=range_rows)
+    clean = df.select(*keys, plain(F.col(value)).alias(value)).where(F.col(value).isNotNull())
+    if rows is not None and rows <= range_rows:
+        return clean.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in quantiles.items()])
+    values = cut_lineage(value_masses(clean, keys, value))
+    found = values.count()
+    if found <= range_rows:
+        return values.groupBy(*keys).agg(*[F.percentile(value, F.lit(p), F.col("mass")).alias(n) for n, p in quantiles.items()])
+    ranked = order_masses(values, keys, value, range_rows=range_rows, rows=found)
     aggs, out = [], []
     for name, p in quantiles.items():
         position = (F.col("total") - 1) * F.lit(float(p))
@@ -184,10 +213,17 @@ def exact_quantiles(
 
 
 def weighted_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, weight: str, q: float, out: str, range_rows: int = RANGE_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    weight: str,
+    q: float,
+    out: str,
+    range_rows: int = RANGE_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Smallest value whose cumulative weight reaches ``q`` of the total, per key."""
-    ranked = cumulative_mass(df, keys, value, F.col(weight), range_rows=range_rows)
+    ranked = cumulative_mass(df, keys, value, F.col(weight), range_rows=range_rows, rows=rows)
     reached = F.col("before") + F.col("mass") >= F.lit(q) * F.col("total") * F.lit(1 - 1e-12)
     return ranked.groupBy(*keys).agg(F.min(F.when(reached, F.col(value))).alias(out))
 
@@ -209,13 +245,16 @@ def spearman(
         .groupBy(*keys, plain(F.col(x)).alias(x), plain(F.col(y)).alias(y))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    # Read five times below.
+    pairs = cut_lineage(pairs)
+    size = pairs.count()
     ranks = []
     for col, name in ((x, "_rx"), (y, "_ry")):
-        ranked = cumulative_mass(pairs, keys, col, F.col("_n"), range_rows=range_rows)
+        ranked = cumulative_mass(pairs, keys, col, F.col("_n"), range_rows=range_rows, rows=size)
         ranks.append(ranked.select(*keys, col, (F.col("before") + (F.col("mass") + 1) / 2.0).alias(name)))
     joined = null_safe_join(null_safe_join(pairs, ranks[0], [*keys, x], "inner"), ranks[1], [*keys, y], "inner")
     # Ranks are centred on (n + 1) / 2, which every key knows from its total.
-    total = joined.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    total = pairs.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     centred = null_safe_join(joined, total, keys, "inner").select(
         *keys,
         "_n",
@@ -239,19 +278,22 @@ def top_by(
     limit: str,
     out: str,
     range_rows: int = RANGE_ROWS,
+    size: int | None = None,
 ) -> DataFrame:
     """Flag the ``limit`` rows per key with the largest ``value``; ties go to the smallest ``tiebreak``.
 
     ``limit`` is a per-key column and ``tiebreak`` a whole number below 2^53, unique within the key.
     Values above the cut need no order; only the rows tied at the cut are ranked among themselves.
+    ``size`` is a known upper bound of the row count.
     """
+    size = df.count() if size is None else size
     rows = df.withColumns({"_v": plain(F.col(value)), "_t": plain(F.col(tiebreak))})
-    cut = cumulative_mass(rows.select(*keys, "_v"), keys, "_v", descending=True, range_rows=range_rows).drop("total")
+    cut = cumulative_mass(rows.select(*keys, "_v"), keys, "_v", descending=True, range_rows=range_rows, rows=size).drop("total")
     staged = null_safe_join(rows, cut, [*keys, "_v"], "left")
     whole = F.col("before") + F.col("mass") <= F.col(limit)
     partial = (F.col("before") < F.col(limit)) & ~whole
     ties = staged.where(partial).select(*keys, "_t")
-    order = cumulative_mass(ties, keys, "_t", range_rows=range_rows).select(*keys, "_t", F.col("before").alias("_tie"))
+    order = cumulative_mass(ties, keys, "_t", range_rows=range_rows, rows=size).select(*keys, "_t", F.col("before").alias("_tie"))
     flagged = null_safe_join(staged, order, [*keys, "_t"], "left")
     chosen = whole | (partial & (F.col("before") + F.col("_tie") < F.col(limit)))
     return flagged.withColumn(out, F.coalesce(chosen, F.lit(False))).drop("before", "mass", "_tie", "_v", "_t")
