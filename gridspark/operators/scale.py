@@ -82,9 +82,13 @@ def share_of(df: DataFrame, keys: Sequence[str], value: str, out: str, empty: fl
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi-join that matches NULL keys, keeping the left key columns."""
+    """Equi-join that matches NULL keys, keeping the left key columns.
+
+    Without keys the right side is a one-row aggregate and enters as a scalar subquery.
+    """
     if not keys:
-        return left.join(right, F.lit(True), how)
+        row = right.select(F.struct("*").alias("t")).scalar()
+        return left.withColumn("_row", row).select(*left.columns, *[F.col("_row")[c].alias(c) for c in right.columns])
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
@@ -96,22 +100,22 @@ def plain(value: Column) -> Column:
     return F.when(value == 0, F.lit(0.0)).otherwise(value)
 
 
-def value_ranges(
-    df: DataFrame, value: str, out: str, range_rows: int = RANGE_ROWS, rows: int | None = None
-) -> DataFrame:
-    """Number the value range of each row; ranges hold about ``range_rows`` rows at most.
+def range_cuts(df: DataFrame, value: str, range_rows: int = RANGE_ROWS, rows: int | None = None) -> list[float]:
+    """Boundaries that cut the values into ranges of about ``range_rows`` rows; none if one range is enough.
 
-    Only the boundaries (at most ``MAX_RANGES`` doubles) reach the driver. They are literals in the
-    plan, so every branch that uses the column agrees on it. ``rows`` is an upper bound of the row
-    count, for callers that know one; otherwise rows are counted.
+    At most ``MAX_RANGES`` doubles reach the driver. ``rows`` is an upper bound of the row count, for
+    callers that know one; otherwise rows are counted.
     """
     if rows is None or rows > range_rows:
         rows = df.count()
     n = min(MAX_RANGES, -(-rows // range_rows))
     if n <= 1:
-        return df.withColumn(out, F.lit(0))
-    probs = [i / n for i in range(1, n)]
-    cuts = sorted(set(df.approxQuantile(value, probs, 1.0 / (4 * n))))
+        return []
+    return sorted(set(df.approxQuantile(value, [i / n for i in range(1, n)], 1.0 / (4 * n))))
+
+
+def value_ranges(df: DataFrame, value: str, out: str, cuts: Sequence[float]) -> DataFrame:
+    """Number the range each value lies in. The cuts are literals, so every branch of a plan agrees."""
     # NaN and NULL never reach here: callers drop them.
     splits = [float("-inf"), *cuts, float("inf")]
     ranged = Bucketizer(splits=splits, inputCol=value, outputCol=out).transform(df)
@@ -154,8 +158,14 @@ def order_masses(
     rows: int | None = None,
 ) -> DataFrame:
     """Mass before each distinct value and total per key, range by range."""
-    ranged = value_ranges(values, value, "_range", range_rows, rows)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    cuts = range_cuts(values, value, range_rows, rows)
+    if not cuts:
+        # All values together are one range.
+        whole = Window.partitionBy(*keys)
+        run = F.sum("mass").over(whole.orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, 0))
+        return values.select(*keys, value, "mass", (run - F.col("mass")).alias("before"), F.sum("mass").over(whole).alias("total"))
+    ranged = value_ranges(values, value, "_range", cuts)
     inside = Window.partitionBy(*keys, "_range").orderBy(direction(value))
     local = ranged.withColumn("_run", F.sum("mass").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     # At most MAX_RANGES rows per key.

@@ -32,7 +32,7 @@ def test_quantiles_match_numpy(skewed, limit):
 def test_ranges_are_used_and_bounded(skewed):
     _, df = skewed
     distinct = df.select("v").distinct()
-    ranged = scale.value_ranges(distinct, "v", "r", 30)
+    ranged = scale.value_ranges(distinct, "v", "r", scale.range_cuts(distinct, "v", 30))
     sizes = [r["count"] for r in ranged.groupBy("r").count().collect()]
     assert len(sizes) > 5 and max(sizes) < 70
 
