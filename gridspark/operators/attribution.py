@@ -158,11 +158,18 @@ def remaining(coefficients, demand, nodes, intensity, **kw) -> DataFrame:
     return _footprint(applied, nodes, intensity, ["fssec", "k"])
 
 
+def _extras(nodes, intensity):
+    """Columns such as year or indicator that nodes and intensities carry along."""
+    known = {"i", "region", "sector", "is_target", "d"}
+    return [c for df in (nodes, intensity) for c in df.columns if c not in known]
+
+
 def _footprint(applied, nodes, intensity, keys):
-    place = nodes.select("i", F.col("region").alias("preg"), F.col("sector").alias("psec"))
+    extras = _extras(nodes, intensity)
+    place = nodes.withColumnsRenamed({"region": "preg", "sector": "psec"}).drop("is_target")
     joined = applied.join(intensity, "i").join(place, "i")
     value = F.greatest(F.col("d") * F.col("v"), F.lit(0.0))
-    return joined.select("preg", "psec", *keys, value.alias("value")).where(F.col("value") > 0)
+    return joined.select(*extras, "preg", "psec", *keys, value.alias("value")).where(F.col("value") > 0)
 
 
 def household(direct: DataFrame, groups: dict[str, Sequence[int] | str] | str = "individual") -> DataFrame:
@@ -173,7 +180,7 @@ def household(direct: DataFrame, groups: dict[str, Sequence[int] | str] | str =
 
 def footprints(coefficients, demand, nodes, intensity, **kw) -> DataFrame:
     """Direct (slot 0) and indirect (slot 1) footprints in one table."""
-    columns = ["preg", "psec", "tsec", "fssec", "k", "slot", "value"]
+    columns = [*_extras(nodes, intensity), "preg", "psec", "tsec", "fssec", "k", "slot", "value"]
     direct = direct_slot(coefficients, demand, nodes, intensity, **kw).withColumn("slot", F.lit(0))
     indirect = indirect_slot(coefficients, demand, nodes, intensity, **kw).withColumn("slot", F.lit(1))
     return direct.select(columns).unionByName(indirect.select(columns))
@@ -194,6 +201,25 @@ def balance(
     return out.withColumns({"total": total, "rel_error": error, "ok": error < 0.01})
 
 
+def balance_by(
+    keys: Sequence[str], target: DataFrame, rest: DataFrame, expected: DataFrame, home: DataFrame | None = None
+) -> DataFrame:
+    """The balance per year or indicator. ``expected`` has ``keys, value``: the account total per key."""
+    keys = list(keys)
+    parts = {"target": target, "remaining": rest, "household": home, "expected": expected}
+    stacked = None
+    for name, df in parts.items():
+        if df is not None:
+            sums = df.groupBy(*keys).agg(F.sum("value").alias("value")).withColumn("part", F.lit(name))
+            stacked = sums if stacked is None else stacked.unionByName(sums)
+    picks = [F.coalesce(F.sum(F.when(F.col("part") == n, F.col("value"))), F.lit(0.0)).alias(n) for n in parts]
+    wide = stacked.groupBy(*keys).agg(*picks)
+    wide = wide.withColumn("expected", F.col("expected") + F.col("household"))
+    total = F.col("target") + F.col("remaining") + F.col("household")
+    error = F.abs(total - F.col("expected")) / F.greatest(F.col("expected"), F.lit(1e-12))
+    return wide.withColumns({"total": total, "rel_error": error, "ok": error < 0.01})
+
+
 def dashboard(
     footprint: DataFrame, crops: DataFrame, targets: DataFrame, regions: DataFrame, years: Sequence[str] = ("year",)
 ) -> DataFrame:
