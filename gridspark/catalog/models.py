@@ -89,7 +89,9 @@ def regional_residual(t):
 
 @query("detector_corrector", "region:i adopted:s decision:s")
 def detector_corrector(t):
-    rows = table(t).withColumns({"y_true": F.col("y"), "base": F.col("n") * F.col("qty") * 0.12})
+    # Rows with many lines are predicted far too low.
+    base = F.when(F.col("n") > 2, F.col("y") * 0.6).otherwise(F.col("y") * 1.02)
+    rows = table(t).withColumns({"y_true": F.col("y"), "base": base})
     layer = cascade.train_extreme(
         rows, FEATURES, "base", "row_id", plan=cascade.FoldPlan("time", 48, 24), min_samples=100, min_extremes=20, depth=2, rounds=2
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridspark.catalog.base import LINES, query
 from gridspark.functions import taxonomy
-from gridspark.operators import report
+from gridspark.operators import cascade, report
 
 
 def stress_rows(t):
@@ -332,6 +332,17 @@ def best_layer(t):
     return report.select_best(wide, "r2_G", "r2_GW", "best")
 
 
+@query(
+    "crop_routing",
+    "variant:s region_scheme:i n:i r2:8",
+    f"""WITH {model_sql()} SELECT CASE WHEN crop IN ('soy', 'sor', 'sgb', 'rap') THEN 'unweighted' ELSE 'weighted' END AS variant, CASE WHEN crop IN ('wh', 'mai') THEN 30 ELSE 9 END AS region_scheme,
+      count(*) AS n, max(r2) AS r2 FROM mt GROUP BY ALL""",
+)
+def crop_routing(t):
+    routed = model_table(t).join(cascade.crop_routing(t.spark), "crop")
+    return routed.groupBy("variant", "region_scheme").agg(F.count(F.lit(1)).alias("n"), F.max("r2").alias("r2"))
+
+
 def decisions(t):
     """Adoption per crop, layer and region."""
     code = F.element_at(F.array(*[F.lit(c) for c in taxonomy.CROPS]), F.substring("p_brand", 7, 4).cast("int") % 27 + 1)

@@ -18,7 +18,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions import scores
+from gridspark.functions import scores, taxonomy
 from gridspark.operators import correction, evaluation, validation
 from gridspark.operators.features import assemble, fill_missing_features
 from gridspark.operators.quantile_trees import MISSING, QuantileTrees, TreeParams, fit_quantile_trees, fit_quantiles
@@ -29,6 +29,15 @@ QUANTILES = (0.1, 0.5, 0.9)
 PREDICTIONS = {0.1: "y_pred_q10", 0.5: "y_pred", 0.9: "y_pred_q90"}
 
 
+def crop_routing(spark) -> DataFrame:
+    """Which variant and which regions a crop uses: ``crop, variant, region_scheme``."""
+    rows = [
+        (c, "unweighted" if c in taxonomy.UNWEIGHTED_CROPS else "weighted", 30 if c in taxonomy.CLIMATE_CLASS_CROPS else 9)
+        for c in taxonomy.CROPS
+    ]
+    return literal_rows(spark, rows, "crop string, variant string, region_scheme int")
+
+
 @dataclass(frozen=True)
 class FoldPlan:
     date: str = "time"
@@ -162,7 +171,8 @@ def train_global(
 ) -> GlobalLayer:
     """Fit per fold, predict out of fold, average the tuned parameters and fit on all rows.
 
-    With ``grid`` every fold is tuned by spatial folds of ``group`` inside its training rows.
+    With ``grid`` every fold is tuned by spatial folds of ``group`` inside its training rows. ``df`` is
+    read by every fold and fit, so it should be a stored table.
     """
     features = list(features)
     folds = _folds(df, plan)
