@@ -5,7 +5,7 @@ of one host, and ``quality_rules`` joins both into a verdict and the text withou
 built from SQL functions on the JVM side.
 
 How it scales: repeats inside a text are found inside its row. Lines are hashed and grouped by (host, line) with
-partial aggregation, so that a line which stands in a third of all documents arrives as one row per task; only
+partial aggregation (the hashes are written once and read twice), so that a line which stands in a third of all documents arrives as one row per task; only
 lines above the limit are joined back, and only per-document sums (and the few removed lines) reach the documents.
 
 Defined results: a null text has no words, fails the base rule and stays null. A null host is a host of its own. Exact copies
@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+from gridspark.session import cut_lineage
+
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 3
 
 MIN_WORDS = 50
@@ -32,17 +32,13 @@ MIN_LEFT_PERCENT = 30
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _without(text: Column, letters: str) -> Column:
-    return F.translate(text, letters, "")
-
-
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
 
 
 def _lines(text: Column) -> Column:
     """The lines of a text that hold a word."""
-    return F.filter(F.split(text, "\n"), lambda x: _without(x, SPACES) != "")
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))
 
 
 def normal_line(line: Column) -> Column:
@@ -64,7 +60,8 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     source = F.coalesce(F.col(text), F.lit(""))
     lines = _lines(source)
-    out = docs.withColumns({"_q_words": F.transform(_words(source), lambda w: F.xxhash64(w)), "_q_lines": lines})
+    out = docs.withColumns({"_q_text_words": _words(source), "_q_lines": lines})
+    out = out.withColumns({"_q_chars": F.length(F.array_join("_q_text_words", "")), "_q_words": F.transform("_q_text_words", lambda w: F.xxhash64(w))})
     n = F.size("_q_words")
     out = out.withColumn(
         "_q_keys",
@@ -83,12 +80,12 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": F.length(_without(source, SPACES)).cast("long"),
-            "n_symbols": (F.length(source) - F.length(_without(source, SYMBOLS))).cast("long"),
+            "word_chars": F.col("_q_chars").cast("long"),
+            "n_symbols": F.regexp_count(source, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         }
-    ).drop("_q_words", "_q_lines", "_q_keys", "_q_order", "_q_at")
+    ).drop("_q_text_words", "_q_chars", "_q_words", "_q_lines", "_q_keys", "_q_order", "_q_at")
 
 
 def base_failed(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> Column:
@@ -97,32 +94,27 @@ def base_failed(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT
 
 
 def _document_lines(docs: DataFrame, text: str, host: str, doc_id: str) -> DataFrame:
-    """One row per document and different line: its hash, its words and how often it stands there."""
-    n_words = lambda x: F.size(_words(x))
-    lines = F.transform(_lines(F.col(text)), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), n_words(x).alias("n")))
+    """One row per document and line: the hash of the line and its number of words."""
+    lines = F.transform(_lines(F.col(text)), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(_words(x)).alias("n")))
     return docs.filter(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("_q_doc"),
-        F.xxhash64(text).alias("_q_text"),
-        F.coalesce(F.xxhash64(host), F.lit(0)).alias("_q_host"),
-        F.explode(lines).alias("_q_line"),
+        F.col(doc_id).alias("_q_doc"), F.xxhash64(text).alias("_q_text"), F.xxhash64(host).alias("_q_host"), F.inline(lines)
     )
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", max_docs: int = MAX_DOCS_PER_LINE) -> DataFrame:
-    """(host hash, line hash, documents, smallest doc_id) of the lines in more than ``max_docs`` different texts of a host."""
+def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS_PER_LINE) -> DataFrame:
+    """(host, line, smallest document) of the lines in more than ``max_docs`` different texts of a host."""
     return (
-        _document_lines(docs, text, host, doc_id)
-        .groupBy("_q_host", F.col("_q_line.line").alias("line"))
+        lines.groupBy("_q_host", "line")
         .agg(F.count_distinct("_q_text").alias("n_docs"), F.min("_q_doc").alias("first_doc"))
         .filter(F.col("n_docs") > max_docs)
+        .drop("n_docs")
     )
 
 
-def removed_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def removed_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
     """Per document and text: the hashes of its lines to remove and the number of words in them."""
-    own = _document_lines(docs, text, host, doc_id).select("_q_doc", "_q_text", "_q_host", "_q_line.line", "_q_line.n")
     return (
-        own.join(frequent, ["_q_host", "line"])
+        lines.join(frequent, ["_q_host", "line"])
         .filter(~F.col("_q_doc").eqNullSafe(F.col("first_doc")))
         .groupBy("_q_doc", "_q_text")
         .agg(F.collect_set("line").alias("_q_removed"), F.sum("n").alias("_q_gone"))
@@ -141,8 +133,8 @@ def quality_rules(
 
     A document is depleted, and not kept, if fewer than ``min_left_percent`` of its words are left without the frequent lines.
     """
-    frequent = frequent_lines(docs, text, host, doc_id, max_docs)
-    gone = removed_lines(docs, frequent, text, host, doc_id)
+    lines = cut_lineage(_document_lines(docs, text, host, doc_id))
+    gone = removed_lines(lines, frequent_lines(lines, max_docs))
     counted = rule_counts(docs, text).withColumns({"_q_id": F.col(doc_id), "_q_hash": F.xxhash64(text)})
     both = counted.join(gone, F.col("_q_id").eqNullSafe(F.col("_q_doc")) & (F.col("_q_hash") == F.col("_q_text")), "left")
     left = F.col("n_words") - F.coalesce("_q_gone", F.lit(0))
