@@ -34,7 +34,7 @@ BLOCK = 1024
 LANES = 64
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 19
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 
 SEGMENT = (
     "part int, segment int, n_ids long, doc_ids array<long>, doc_sizes array<long>, lows binary, widths binary, "
@@ -139,7 +139,7 @@ class Encoder:
     """Ids of whole texts from a tokenizer file.
 
     For tokenizers that drop white space and never look across it, a text is the sequence of its chunks between spaces and line
-    feeds, and the ids of a chunk are asked for once and kept (``by_chunk``). Otherwise whole texts are encoded.
+    feeds, and the ids of the first ``cache_words`` different chunks are kept (``by_chunk``). Otherwise whole texts are encoded.
     """
 
     def __init__(self, path: str, by_chunk: bool, cache_words: int = CACHE_WORDS):
@@ -156,12 +156,14 @@ class Encoder:
         if not self.by_chunk:
             return self._ids(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.cache_words:
-            self.known = {"": b""}
         new = list({w for words in split for w in words if w not in self.known})
-        self.known.update(zip(new, self._ids(new), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        fresh = dict(zip(new, self._ids(new), strict=True))
+        if len(self.known) < self.cache_words:
+            self.known.update(fresh)
+            get = self.known.__getitem__
+            return [b"".join(map(get, words)) for words in split]
+        known = self.known
+        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
