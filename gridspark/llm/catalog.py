@@ -4,7 +4,7 @@ from importlib import import_module
 
 from gridspark.llm.base import ORACLES, QUERIES
 
-MODULES = ["q_line_quality", "q_decontaminate", "q_token_blocks", "q_jaccard_join"]
+MODULES = ["q_line_quality", "q_decontaminate", "q_token_blocks", "q_jaccard_join", "q_packing"]
 
 for _module in MODULES:
     import_module(f"gridspark.llm.{_module}")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.components import components
-from gridspark.llm.textbytes import LOWER, WORD, chunks, mix, runs, shingle_hashes, text_bytes, word_hashes
+from gridspark.llm.textbytes import LOWER, WORD, chunks, mix, runs, shingle_hashes, sorted_groups, text_bytes, word_hashes
 from gridspark.session import cut_lineage
 
 SHINGLE = 5
@@ -173,27 +173,6 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of the rows of one key each, from batches sorted by the keys."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = np.column_stack([batch.column(k).to_numpy() for k in keys])
-        change = np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1
-        edges = [0, *change.tolist(), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            key = tuple(columns[a])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _pairs(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of a group: of one block with itself, or of a first with a second block."""
     if side.min() == side.max():
@@ -207,7 +186,7 @@ def _prune(least: list[int]):
 
     def run(batches):
         us, vs = [], []
-        for group in _groups(batches, ["key", "low", "high"]):
+        for group in sorted_groups(batches, ["key", "low", "high"]):
             ids = group.column("rep").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, side = ids[order], group.column("block").to_numpy()[order]
@@ -285,7 +264,7 @@ def _verify(threshold: float):
     """Sorted blocks of candidate groups to (rep, links, root), links counted in documents."""
 
     def run(batches):
-        for group in _groups(batches, ["root", "low", "high"]):
+        for group in sorted_groups(batches, ["root", "low", "high"]):
             hashes, owner, digests = shingle_sets(group.column("t"))
             right = [a == b for a, b in zip(digests, group.column("digest").to_pylist(), strict=True)]
             ids = group.column("rep").to_numpy()

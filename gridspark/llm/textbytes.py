@@ -123,3 +123,24 @@ def code_points(data: np.ndarray) -> np.ndarray:
     out = np.zeros(data.size + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of the rows of one key each, from batches sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.column_stack([batch.column(k).to_numpy() for k in keys])
+        change = np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1
+        edges = [0, *change.tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            key = tuple(columns[a])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
