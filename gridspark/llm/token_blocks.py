@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -135,35 +136,63 @@ def decode(stored: dict[str, bytes], n_ids: int, blocks: slice = slice(None)) ->
 # ---- tokens -----------------------------------------------------------------------------------------------------------------
 
 
-class Encoder:
-    """Ids of whole texts from a tokenizer file.
+# Byte-level vocabularies write bytes that have no visible Latin-1 letter as the letters from 256 on, in order.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
-    For tokenizers that drop white space and never look across it, a text is the sequence of its chunks between spaces and line
-    feeds, and the ids of the first ``cache_words`` different chunks are kept (``by_chunk``). Otherwise whole texts are encoded.
+
+class Encoder(dict):
+    """Ids of whole texts from a tokenizer file, little-endian 32 bits each.
+
+    For tokenizers that drop white space and never look across it (``by_chunk``), a text is the sequence of its chunks between
+    spaces and line feeds, and the ids of the first ``cache_words`` different chunks are kept in this mapping. Where byte-level
+    probes show that a word of letters in lower case needs neither a normaliser nor a splitter (``plain``), such words go straight to
+    the tokenizer's model, and a full stop or comma after letters is a chunk of its own. Otherwise whole texts are encoded.
     """
 
+    PROBES = ("a", "the", "of", "tokenizer", "zyxwvut", "ll", "re", "s", "qqqq", "été", "größe", "señor", "ωμέγα", "字", "ж")
+
     def __init__(self, path: str, by_chunk: bool, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.by_chunk, self.cache_words = by_chunk, cache_words
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.plain = by_chunk and all(self._of_model(w) == self._of_text(w) for w in self.PROBES)
+
+    def _of_text(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _of_model(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not self.plain:
+            out = self._of_text(chunk)
+        elif chunk.isalpha():
+            low = chunk.lower() if chunk.isascii() else chunk
+            if low != chunk:
+                out = self[low]
+            elif chunk.isascii() or chunk == chunk.lower() and is_normalized("NFC", chunk):
+                out = self._of_model(chunk)
+            else:
+                out = self._of_text(chunk)
+        elif len(chunk) > 1 and chunk[-1] in ".," and chunk[:-1].isalpha():
+            out = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            out = self._of_text(chunk)
+        if len(self) < self.cache_words:
+            self[chunk] = out
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
-            return self._ids(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        fresh = dict(zip(new, self._ids(new), strict=True))
-        if len(self.known) < self.cache_words:
-            self.known.update(fresh)
-            get = self.known.__getitem__
-            return [b"".join(map(get, words)) for words in split]
-        known = self.known
-        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
+            return [self._of_text(t) for t in texts]
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
