@@ -73,44 +73,52 @@ def prepare(edges: DataFrame, demand: DataFrame, account: DataFrame) -> tuple[Da
     return cut_lineage(technical_coefficients(edges, output)), demand, cut_lineage(intensities(account, output)), output
 
 
+class NotConverged(RuntimeError):
+    """A series whose remainder is still above the tolerance after the allowed rounds."""
+
+
 def series(
     coefficients: DataFrame,
     start: DataFrame,
     rhs: Sequence[str],
-    rounds: int = 60,
-    tolerance: float | None = 1e-10,
-    prune: float = 0.0,
+    tolerance: float = 1e-12,
+    max_rounds: int = 400,
     checkpoint_every: int = 4,
 ) -> DataFrame:
-    """``(I + A + ... + A^rounds) b`` for every right-hand side: ``i, *rhs, v``.
+    """``(I + A + A^2 + ...) b`` for every right-hand side: ``i, *rhs, v``.
 
     Nested evaluation, ``s = b + A s``: each round is one join with the coefficients and one
     aggregation, and nothing but ``s`` is carried along. ``start`` has ``i, *rhs, v``, not negative.
-    With a tolerance, ``s`` is materialised every few rounds, which keeps the plan short and survives
-    lost executors, and the rounds end once its sum grows by less than that share; the coefficients
-    are then laid out by their column once, so a round shuffles only ``s``. With ``tolerance=None``
-    the rounds are one lazy plan. Entries at or below ``prune`` are left out (0 keeps everything).
+    ``s`` is materialised every few rounds, which keeps the plan short and survives lost executors; the
+    coefficients are laid out by their column once, so a round shuffles only ``s``. The rounds end once
+    what is still to come, estimated from the ratio of the last two increments, is below ``tolerance`` of the
+    sum. A series that has not come so far after ``max_rounds`` is an error, never a shortened result.
     """
     rhs = list(rhs)
-    b = start.groupBy("i", *rhs).agg(F.sum("v").alias("v"))
-    a = coefficients.select(F.col("i").alias("_to"), F.col("j").alias("i"), "a")
-    if tolerance is not None:
-        b = cut_lineage(b)
-        parts = int(coefficients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        a = a.repartition(parts, "i").persist(StorageLevel.MEMORY_AND_DISK)
-    s, before = b, None
-    for n in range(1, rounds + 1):
-        stepped = s.join(a, "i").select(F.col("_to").alias("i"), *rhs, (F.col("a") * F.col("v")).alias("v"))
-        s = stepped.unionByName(b).groupBy("i", *rhs).agg(F.sum("v").alias("v")).where(F.abs("v") > prune)
-        if tolerance is not None and (n % checkpoint_every == 0 or n == rounds):
+    b = cut_lineage(start.groupBy("i", *rhs).agg(F.sum("v").alias("v")))
+    parts = int(coefficients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = coefficients.select(F.col("i").alias("_to"), F.col("j").alias("i"), "a").repartition(parts, "i").persist(StorageLevel.MEMORY_AND_DISK)
+    s, before, grown, left = b, b.agg(F.sum("v")).first()[0] or 0.0, None, float("inf")
+    try:
+        for n in range(1, max_rounds + 1):
+            stepped = s.join(a, "i").select(F.col("_to").alias("i"), *rhs, (F.col("a") * F.col("v")).alias("v"))
+            s = stepped.unionByName(b).groupBy("i", *rhs).agg(F.sum("v").alias("v"))
+            if n % checkpoint_every and n < max_rounds:
+                continue
             s = cut_lineage(s)
             total = s.agg(F.sum("v")).first()[0] or 0.0
-            if before is not None and total - before <= tolerance * total:
-                break
-            before = total
-    if tolerance is not None:
+            growth, before = total - before, total
+            # Increments this small are rounding, and their ratio says nothing.
+            if growth <= 1e-15 * total:
+                return s
+            ratio = growth / grown if grown else 1.0
+            left = growth * ratio / (1.0 - ratio) if ratio < 1.0 else float("inf")
+            if left <= tolerance * total:
+                return s
+            grown = growth
+    finally:
         a.unpersist()
-    return s
+    raise NotConverged(f"after {max_rounds} rounds about {left:.3g} of {before:.6g} is still to come")
 
 
 def outside(coefficients: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -129,20 +137,24 @@ def direct_slot(coefficients, demand, nodes, intensity, **kw) -> DataFrame:
     return _footprint(applied, nodes, intensity, ["tsec", "k"]).withColumn("fssec", F.col("tsec"))
 
 
-def indirect_slot(coefficients, demand, nodes, intensity, **kw) -> DataFrame:
+def others_supply(coefficients, demand, nodes, **kw) -> DataFrame:
+    """What other nodes supply for their final demand without passing a target: ``i, fssec, k, v``."""
+    others = nodes.where(~F.col("is_target")).select("i", F.col("sector").alias("fssec"))
+    start = demand.join(others, "i").select("i", "fssec", "k", F.col("value").alias("v"))
+    return series(cut_lineage(outside(coefficients, nodes)), start, ["fssec", "k"], **kw)
+
+
+def indirect_slot(coefficients, demand, nodes, intensity, supply: DataFrame | None = None, **kw) -> DataFrame:
     """Footprint of target products that reach final demand inside other products.
 
-    Demand for other products runs through the network of other nodes, is handed to target nodes as
-    input, and from there through the whole network. The supplying sector stays in the key.
+    Demand for other products runs through the network of other nodes (``supply``, from ``others_supply``), is handed to
+    target nodes as input, and from there through the whole network. The supplying sector stays in the key.
     """
-    inner = outside(coefficients, nodes)
-    others = nodes.where(~F.col("is_target")).select("i", F.col("sector").alias("fssec"))
-    start = demand.join(others, "i").select("i", "fssec", "k", F.col("value").alias("v"))
-    at_others = series(inner, start, ["fssec", "k"], **kw)
+    supply = others_supply(coefficients, demand, nodes, **kw) if supply is None else supply
     targets = nodes.where("is_target").select(F.col("i").alias("t"), F.col("sector").alias("tsec"))
     into = coefficients.select(F.col("i").alias("t"), F.col("j").alias("i"), "a").join(targets, "t")
     handed = (
-        at_others.join(into, "i")
+        supply.join(into, "i")
         .groupBy(F.col("t").alias("i"), "tsec", "fssec", "k")
         .agg(F.sum(F.col("a") * F.col("v")).alias("v"))
     )
@@ -150,12 +162,10 @@ def indirect_slot(coefficients, demand, nodes, intensity, **kw) -> DataFrame:
     return _footprint(applied, nodes, intensity, ["tsec", "fssec", "k"])
 
 
-def remaining(coefficients, demand, nodes, intensity, **kw) -> DataFrame:
+def remaining(coefficients, demand, nodes, intensity, supply: DataFrame | None = None, **kw) -> DataFrame:
     """Footprint of other producers that never passes a target: ``preg, psec, fssec, k, value``."""
-    others = nodes.where(~F.col("is_target")).select("i", F.col("sector").alias("fssec"))
-    start = demand.join(others, "i").select("i", "fssec", "k", F.col("value").alias("v"))
-    applied = series(outside(coefficients, nodes), start, ["fssec", "k"], **kw)
-    return _footprint(applied, nodes, intensity, ["fssec", "k"])
+    supply = others_supply(coefficients, demand, nodes, **kw) if supply is None else supply
+    return _footprint(supply, nodes, intensity, ["fssec", "k"])
 
 
 def _extras(nodes, intensity):
@@ -178,11 +188,11 @@ def household(direct: DataFrame, groups: dict[str, Sequence[int] | str] | str =
     return placed.select(F.col("i").alias("preg"), "k", "value")
 
 
-def footprints(coefficients, demand, nodes, intensity, **kw) -> DataFrame:
-    """Direct (slot 0) and indirect (slot 1) footprints in one table."""
+def footprints(coefficients, demand, nodes, intensity, supply: DataFrame | None = None, **kw) -> DataFrame:
+    """Direct (slot 0) and indirect (slot 1) footprints in one table; ``supply`` saves a series that ``remaining`` needs as well."""
     columns = [*_extras(nodes, intensity), "preg", "psec", "tsec", "fssec", "k", "slot", "value"]
     direct = direct_slot(coefficients, demand, nodes, intensity, **kw).withColumn("slot", F.lit(0))
-    indirect = indirect_slot(coefficients, demand, nodes, intensity, **kw).withColumn("slot", F.lit(1))
+    indirect = indirect_slot(coefficients, demand, nodes, intensity, supply, **kw).withColumn("slot", F.lit(1))
     return direct.select(columns).unionByName(indirect.select(columns))
 
 

@@ -60,8 +60,9 @@ def attribute_years(
         ).withColumn("is_target", F.col("sector").isin(*targets))
     )
     final = cut_lineage(final)
-    target = cut_lineage(attribution.footprints(a, final, nodes, d, **series))
-    rest = cut_lineage(attribution.remaining(a, final, nodes, d, **series))
+    supply = attribution.others_supply(a, final, nodes, **series)
+    target = cut_lineage(attribution.footprints(a, final, nodes, d, supply, **series))
+    rest = cut_lineage(attribution.remaining(a, final, nodes, d, supply))
     expected = d.join(output, "i").join(nodes.select("i", "year"), "i").select("year", "indicator", (F.col("d") * F.col("x")).alias("value"))
     return {
         "target": target,

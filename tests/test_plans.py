@@ -23,13 +23,13 @@ def test_attribution_of_two_years(spark):
         spark.createDataFrame(flows, "year int, from_region int, from_sector int, to_region int, to_sector int, value double"),
         spark.createDataFrame(demand, "year int, from_region int, from_sector int, to_region int, value double"),
         spark.createDataFrame(accounts, "year int, indicator int, region int, sector int, value double"),
-        [1], n_reg, n_sec, rounds=6, tolerance=None,
+        [1], n_reg, n_sec, tolerance=1e-10,
     )
     balance = out["balance"].collect()
     assert {(r["year"], r["indicator"]) for r in balance} == {(y, i) for y in (2000, 2001) for i in (0, 1)}
     for r in balance:
         want = sum(a[4] for a in accounts if a[0] == r["year"] and a[1] == r["indicator"])
-        assert r["ok"] and np.isclose(r["expected"], want) and r["rel_error"] < 1e-3
+        assert r["ok"] and np.isclose(r["expected"], want) and r["rel_error"] < 1e-8
 
 
 def test_feature_table(frame):
