@@ -69,22 +69,21 @@ def hist_pred_prefer_prediction(t):
 
 
 def detailed(t):
-    """Detailed crops per country and year, with gaps in some years."""
+    """Detailed crops per country and year."""
     names = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("country")
     )
-    joined = t.orders.where(F.col("o_orderkey") % 5 != 0).join(names, "o_custkey")
+    joined = t.orders.join(names, "o_custkey")
     crop = F.concat(F.lit("d"), (F.col("o_orderkey") % 12).cast("string"))
     return joined.groupBy("country", crop.alias("crop"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("value"))
 
 
-CROP_MAP = [(f"d{i}", taxonomy.SPLIT_CROPS[i % 3], SECTORS[i % 5]) for i in range(11)]
+CROP_MAP = [(f"d{i}", taxonomy.SPLIT_CROPS[i % 3], SECTORS[i % 5]) for i in range(12)]
 CROP_MAP_VALUES = ", ".join(str(r) for r in CROP_MAP)
 DETAIL = f"""regions AS (SELECT n_name AS country, 'R' || CAST(n_nationkey % 10 AS VARCHAR) AS region FROM nation WHERE n_nationkey < 22),
     cm(crop, crop_group, sector) AS (VALUES {CROP_MAP_VALUES}),
     sv AS (SELECT region, crop_group, sector, year(o_orderdate) AS year, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey
-      JOIN nation ON c_nationkey = n_nationkey JOIN regions r ON r.country = n_name JOIN cm ON cm.crop = 'd' || CAST(o_orderkey % 12 AS VARCHAR)
-      WHERE o_orderkey % 5 <> 0 GROUP BY ALL),
+      JOIN nation ON c_nationkey = n_nationkey JOIN regions r ON r.country = n_name JOIN cm ON cm.crop = 'd' || CAST(o_orderkey % 12 AS VARCHAR) GROUP BY ALL),
     yrs AS (SELECT DISTINCT year FROM sv),
     rm AS (SELECT region, crop_group, sector, y.year, avg(value) AS m FROM yrs y JOIN sv ON sv.year BETWEEN y.year - 2 AND y.year + 2 GROUP BY ALL),
     rolling AS (SELECT region, crop_group, sector, year, m / sum(m) OVER (PARTITION BY region, crop_group, year) AS weight FROM rm),

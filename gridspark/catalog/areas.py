@@ -254,7 +254,7 @@ def missing_members(t):
 
 VALID_SQL = f"""{LINES}, cells AS (
       SELECT crop, (partkey % 40) * 40 + suppkey % 40 AS cell, partkey % 40 // 4 * 10 + suppkey % 40 // 4 AS block,
-        sum(CASE WHEN status = 'O' THEN qty END) AS a, sum(CASE WHEN status = 'F' AND suppkey % 3 <> 0 THEN qty * 1.5 END) AS b FROM lines GROUP BY ALL),
+        sum(CASE WHEN status = 'O' THEN qty END) AS a, sum(CASE WHEN status = 'F' THEN qty * 1.5 END) AS b FROM lines GROUP BY ALL),
     coarse AS (SELECT crop, block, sum(coalesce(a, 0)) AS a, sum(coalesce(b, 0)) AS b, count(*) FILTER (a > 0) AS na, count(*) FILTER (b > 0) AS nb
       FROM cells GROUP BY ALL),
     e AS (SELECT *, rank() OVER (PARTITION BY crop ORDER BY a) + (count(*) OVER (PARTITION BY crop, a) - 1) / 2 AS ra,
@@ -269,7 +269,7 @@ VALID_SQL = f"""{LINES}, cells AS (
 def validated(t):
     cell = ((F.col("partkey") % 40) * 40 + F.col("suppkey") % 40).alias("cell_id")
     ours = t.lines.where(F.col("status") == "O").groupBy("crop", cell).agg(F.sum("qty").alias("area"))
-    theirs = t.lines.where((F.col("status") == "F") & (F.col("suppkey") % 3 != 0)).groupBy("crop", cell).agg(
+    theirs = t.lines.where(F.col("status") == "F").groupBy("crop", cell).agg(
         F.sum(F.col("qty") * 1.5).alias("area")
     )
     block = F.floor(F.floor(F.col("cell_id") / 40) / 4) * 10 + F.floor(F.col("cell_id") % 40 / 4)

@@ -55,18 +55,30 @@ def temporal_cv(t):
 
 @query(
     "group_kfold",
-    "fold:i n_groups:i",
+    "fold:i n_groups:i n_rows:i largest:i smallest:i n_split:i",
     """WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL),
-    c AS (SELECT count(*) AS total FROM g)
-    SELECT k AS fold, (total // 10) * 2 + greatest(0, least(1, total % 10 - k)) + greatest(0, least(1, total % 10 - (9 - k))) AS n_groups
-    FROM c, range(0, 5) AS r(k)""",
+    p AS (SELECT n, row_number() OVER (ORDER BY n DESC) - 1 AS pos FROM g),
+    f AS (SELECT n, CASE WHEN pos // 5 % 2 = 0 THEN pos % 5 ELSE 4 - pos % 5 END AS fold FROM p)
+    SELECT fold, count(*) AS n_groups, sum(n) AS n_rows, max(n) AS largest, min(n) AS smallest, 0 AS n_split FROM f GROUP BY fold""",
 )
 def group_kfold(t):
     folds = validation.spatial_folds(t.orders, "o_custkey", 5, balanced=True)
-    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_groups"))
+    split = folds.groupBy("o_custkey").agg(F.count_distinct("fold").alias("in_folds"))
+    sizes = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).join(split, "o_custkey")
+    return folds.join(sizes, "o_custkey").groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_groups"),
+        F.sum("n").alias("n_rows"),
+        F.max("n").alias("largest"),
+        F.min("n").alias("smallest"),
+        F.count_if(F.col("in_folds") > 1).alias("n_split"),
+    )
 
 
-@query("group_hash_folds", "o_custkey:i fold:i n:i")
+@query(
+    "group_hash_folds",
+    "o_custkey:i fold:i n:i",
+    """SELECT o_custkey, CAST('0x' || substr(md5(CAST(o_custkey AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS fold, count(*) AS n FROM orders GROUP BY ALL""",
+)
 def group_hash_folds(t):
     folds = validation.spatial_folds(t.orders, "o_custkey", 5)
     return t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).join(folds, "o_custkey")
@@ -113,7 +125,15 @@ def param_average(t):
     return validation.average_parameters(rows, ["crop"], "rmse", ["depth", "rate"], ["depth"])
 
 
-@query("bootstrap_ci", "crop:s mean:6 ci_low:6 ci_high:6")
+@query(
+    "bootstrap_ci",
+    "crop:s mean:6 ci_low:6 ci_high:6",
+    f"""WITH {PRED}, e AS (SELECT crop, year, sqrt(avg((y_pred - y_true) ^ 2)) AS rmse FROM pred GROUP BY ALL),
+    l AS (SELECT crop, list(rmse ORDER BY rmse) AS v, avg(rmse) AS mean FROM e GROUP BY crop),
+    d AS (SELECT crop, mean, v, draw, slot FROM l, range(0, 1000) AS a(draw), range(1, 100) AS b(slot) WHERE slot <= len(v)),
+    m AS (SELECT crop, mean, avg(v[CAST('0x' || substr(md5(draw || ',' || slot || ',42'), 1, 8) AS BIGINT) % len(v) + 1]) AS m FROM d GROUP BY crop, mean, draw)
+    SELECT crop, mean, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM m GROUP BY crop, mean""",
+)
 def bootstrap_ci(t):
     err = F.col("y_pred") - F.col("y_true")
     rows = predictions(t).groupBy("crop", "year").agg(F.sqrt(F.avg(err * err)).alias("rmse"))
@@ -123,14 +143,14 @@ def bootstrap_ci(t):
 @query(
     "oof_supplement",
     "source:s n:i total:4",
-    f"""WITH {PRED}, a AS (SELECT * FROM pred WHERE crop = 'A' AND year < 1999), b AS (SELECT cell_id, year, month, sum(y_pred) AS v FROM pred WHERE crop = 'R' GROUP BY ALL)
+    f"""WITH {PRED}, a AS (SELECT cell_id, year, month, sum(y_pred) AS y_pred FROM pred WHERE crop = 'A' GROUP BY ALL), b AS (SELECT cell_id, year, month, sum(y_pred) AS v FROM pred WHERE crop <> 'A' GROUP BY ALL)
     SELECT 'base' AS source, count(*) AS n, sum(y_pred) AS total FROM a
     UNION ALL SELECT 'extra', count(*), sum(v) FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.cell_id = b.cell_id AND a.year = b.year AND a.month = b.month)""",
 )
 def oof_supplement(t):
     p = predictions(t)
-    base = p.where((F.col("crop") == "A") & (F.col("year") < 1999)).select("cell_id", "year", "month", F.col("y_pred").alias("v"), F.lit("base").alias("source"))
-    extra = p.where(F.col("crop") == "R").groupBy("cell_id", "year", "month").agg(F.sum("y_pred").alias("v")).withColumn("source", F.lit("extra"))
+    base = p.where(F.col("crop") == "A").groupBy("cell_id", "year", "month").agg(F.sum("y_pred").alias("v")).withColumn("source", F.lit("base"))
+    extra = p.where(F.col("crop") != "A").groupBy("cell_id", "year", "month").agg(F.sum("y_pred").alias("v")).withColumn("source", F.lit("extra"))
     joined = correction.supplement(base, extra, ["cell_id", "year", "month"])
     return joined.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
@@ -424,13 +444,13 @@ def confidence_band(t):
 @query(
     "largest_residuals",
     "side:s country:s crop:s year:i log_residual:6",
-    f"""WITH {PRED}, c AS (SELECT country, crop, year, sum(y_true) AS y, sum(y_gre) AS p FROM pred WHERE country IS NOT NULL GROUP BY ALL),
+    f"""WITH {PRED}, c AS (SELECT country, crop, year, sum(y_true) AS y, sum(y_gre) AS p FROM pred GROUP BY ALL),
     r AS (SELECT country, crop, year, log10(p) - log10(y) AS log_residual FROM c WHERE y > 0 AND p > 0)
     (SELECT 'over' AS side, * FROM r ORDER BY log_residual DESC, country, crop, year LIMIT 10) UNION ALL
     (SELECT 'under' AS side, * FROM r ORDER BY log_residual, country, crop, year LIMIT 10)""",
 )
 def largest_residuals(t):
-    sums = predictions(t).where(F.col("country").isNotNull()).groupBy("country", "crop", "year").agg(
+    sums = predictions(t).groupBy("country", "crop", "year").agg(
         F.sum("y_true").alias("y_true"), F.sum("y_gre").alias("y_pred")
     )
     return evaluation.largest_residuals(sums, ["country", "crop", "year"])

@@ -121,15 +121,18 @@ def yearly_shares(t):
     return report.share_tables(flows(t), ["year"])
 
 
+# All return flags, nations and part types.
+CATEGORIES = ["A", "N", "R", *(f"NATION_{i}" for i in range(25)), "ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query(
     "share_pivot",
-    "scope:s panel:s A:6 N:6 NATION_3:6 ECONOMY:6",
+    "scope:s panel:s " + " ".join(f"{c}:6" for c in CATEGORIES),
     f"""WITH {FLOWS}, {SCOPES}, c AS (SELECT scope, panel, cat, sum(value) AS value FROM long GROUP BY ALL), s AS (SELECT *, value / sum(value) OVER (PARTITION BY scope, panel) * 100 AS p FROM c)
-    SELECT scope, panel, coalesce(sum(p) FILTER (cat = 'A'), 0) AS A, coalesce(sum(p) FILTER (cat = 'N'), 0) AS N, coalesce(sum(p) FILTER (cat = 'NATION_3'), 0) AS NATION_3,
-      coalesce(sum(p) FILTER (cat = 'ECONOMY'), 0) AS ECONOMY FROM s GROUP BY ALL""",
+    SELECT scope, panel, {', '.join(f"coalesce(sum(p) FILTER (cat = '{c}'), 0) AS {c}" for c in CATEGORIES)} FROM s GROUP BY ALL""",
 )
 def share_pivot(t):
-    return report.share_pivot(report.share_tables(flows(t)), ["A", "N", "NATION_3", "ECONOMY"])
+    return report.share_pivot(report.share_tables(flows(t)))
 
 
 @query(
@@ -212,17 +215,21 @@ def totals_vs_base(t):
     return report.totals_vs_base(crop_values(t), 1998)
 
 
+# All years of the orders.
+RECORD = list(range(1995, 2002))
+
+
 @query(
     "top_regions_with_crops",
-    "country:s y1999:2 y2000:2 mean:3 pct_global:6 top_crops:s",
-    f"""WITH {crop_sql()}, s AS (SELECT * FROM cv WHERE year IN (1999, 2000)),
-    w AS (SELECT country, coalesce(sum(value) FILTER (year = 1999), 0) AS y1999, coalesce(sum(value) FILTER (year = 2000), 0) AS y2000, sum(value) / 2 AS mean FROM s GROUP BY country),
+    "country:s " + " ".join(f"y{y}:2" for y in RECORD) + " mean:3 pct_global:6 top_crops:s",
+    f"""WITH {crop_sql()}, s AS (SELECT * FROM cv),
+    w AS (SELECT country, {', '.join(f"coalesce(sum(value) FILTER (year = {y}), 0) AS y{y}" for y in RECORD)}, sum(value) / {len(RECORD)} AS mean FROM s GROUP BY country),
     b AS (SELECT *, mean / (SELECT sum(mean) FROM w) * 100 AS pct_global FROM w ORDER BY mean DESC, country LIMIT 7),
     c AS (SELECT country, crop, sum(value) AS v FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY v DESC, crop) AS r FROM c)
     SELECT b.*, (SELECT string_agg(crop, ', ' ORDER BY r.r) FROM r WHERE r.country = b.country AND r.r <= 3) AS top_crops FROM b""",
 )
 def top_regions_with_crops(t):
-    return report.top_regions(crop_values(t), [1999, 2000], n=7)
+    return report.top_regions(crop_values(t), RECORD, n=7)
 
 
 TRANSITION = f"""{crop_sql()}, p AS (SELECT country, sum(value) FILTER (year = 1998) AS val_before, sum(value) FILTER (year = 1999) AS val_after FROM cv GROUP BY country),
@@ -253,7 +260,7 @@ def crop_transition(t):
     "seasonality_peak",
     "crop:s seasonal_rho:6 peak_month_hist:i peak_month_pred:i peak_match:s",
     f"""WITH {LINES}, b AS (SELECT p_brand AS crop, year, month, sum(price) AS v FROM lines JOIN part ON partkey = p_partkey GROUP BY ALL),
-    h AS (SELECT crop, month, avg(v) AS h FROM b WHERE year < 1999 GROUP BY ALL), p AS (SELECT crop, month, avg(v) AS p FROM b WHERE year >= 1999 AND month <> 6 GROUP BY ALL),
+    h AS (SELECT crop, month, avg(v) AS h FROM b WHERE year < 1999 GROUP BY ALL), p AS (SELECT crop, month, avg(v) AS p FROM b WHERE year >= 1999 GROUP BY ALL),
     j AS (SELECT crop, month, rank() OVER (PARTITION BY crop ORDER BY h) + (count(*) OVER (PARTITION BY crop, h) - 1) / 2 AS a, rank() OVER (PARTITION BY crop ORDER BY p) + (count(*) OVER (PARTITION BY crop, p) - 1) / 2 AS b
       FROM h JOIN p USING (crop, month)),
     s AS (SELECT crop, corr(a, b) AS rho FROM j GROUP BY crop HAVING count(*) >= 4),
@@ -265,7 +272,7 @@ def seasonality_peak(t):
     parts = t.part.select(F.col("p_partkey").alias("partkey"), F.col("p_brand").alias("crop"))
     sums = t.lines.groupBy("partkey", "year", "month").agg(F.sum("price").alias("value"))
     rows = sums.join(parts, "partkey").select("crop", "year", "month", "value")
-    return report.seasonality(rows.where(F.col("year") < 1999), rows.where((F.col("year") >= 1999) & (F.col("month") != 6)))
+    return report.seasonality(rows.where(F.col("year") < 1999), rows.where(F.col("year") >= 1999))
 
 
 @query(
@@ -311,13 +318,13 @@ def metric_pivot(t):
 @query(
     "weighted_comparison",
     "crop:s ctry_GR:8 ctry_GWR:8 selected:s ctry_diff:8",
-    f"""WITH {model_sql()}, u AS (SELECT crop, r2 AS ctry_GR FROM mt WHERE model = 'G' AND crop <> 'wh'), w AS (SELECT crop, r2 AS ctry_GWR FROM mt WHERE model = 'GW' AND crop <> 'mai')
+    f"""WITH {model_sql()}, u AS (SELECT crop, r2 AS ctry_GR FROM mt WHERE model = 'G'), w AS (SELECT crop, r2 AS ctry_GWR FROM mt WHERE model = 'GW')
     SELECT crop, ctry_GR, ctry_GWR, CASE WHEN crop IN ('soy', 'sor', 'sgb', 'rap') THEN 'G+R' ELSE 'GW+RW' END AS selected, ctry_GWR - ctry_GR AS ctry_diff FROM u FULL JOIN w USING (crop)""",
 )
 def weighted_comparison(t):
     m = model_table(t)
-    unweighted = m.where((F.col("model") == "G") & (F.col("crop") != "wh")).select("crop", F.col("r2").alias("ctry_GR"))
-    weighted = m.where((F.col("model") == "GW") & (F.col("crop") != "mai")).select("crop", F.col("r2").alias("ctry_GWR"))
+    unweighted = m.where(F.col("model") == "G").select("crop", F.col("r2").alias("ctry_GR"))
+    weighted = m.where(F.col("model") == "GW").select("crop", F.col("r2").alias("ctry_GWR"))
     return report.weighted_comparison(unweighted, weighted)
 
 

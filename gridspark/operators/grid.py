@@ -169,23 +169,27 @@ def merge_sources(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFram
 def merge_available(
     sources: dict[str, DataFrame | None],
     keys: Sequence[str],
-    year: int,
+    year: int | None = None,
     first_year: dict[str, int] | None = None,
     enabled: Sequence[str] | None = None,
     require_all: bool = False,
     static: Sequence[DataFrame] = (),
 ) -> DataFrame | None:
-    """Merge one year of the sources that exist and have begun by then.
+    """Merge the sources that exist and have begun: all years in one aggregation, or one ``year``.
 
-    With ``require_all`` an enabled source that should exist but is absent stops the year.
+    With ``require_all``, years in which an enabled source should exist but is absent are left out. None without any source.
     """
     names = list(sources) if enabled is None else [n for n in enabled if n in sources]
-    due = [n for n in names if year >= (first_year or {}).get(n, year)]
-    present = [sources[n] for n in due if sources[n] is not None]
-    if not present or (require_all and len(present) < len(due)):
+    begin = {n: (first_year or {}).get(n) for n in names}
+    present = [n for n in names if sources[n] is not None]
+    ends = [begin[n] for n in names if require_all and sources[n] is None]  # the first year that lacks a source
+    if not present or None in ends or (year is not None and any(year >= e for e in ends)):
         return None
-    monthly = [yearly_to_monthly(d.where(F.col("year") == year)) for d in present]
-    merged = merge_sources(monthly, keys)
+    wanted = F.lit(True) if year is None else F.col("year") == year
+    for e in ends:
+        wanted = wanted & (F.col("year") < e)
+    due = [sources[n].where(wanted if begin[n] is None else wanted & (F.col("year") >= begin[n])) for n in present]
+    merged = merge_sources([yearly_to_monthly(d) for d in due], keys)
     for extra in static:
         on = [k for k in keys if k in extra.columns]
         merged = merged.join(extra, on, "left")

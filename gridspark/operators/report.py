@@ -76,8 +76,11 @@ def share_tables(flows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def share_pivot(shares: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """One percent column per category, 0 where absent."""
+def share_pivot(shares: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
+    """One percent column per category, 0 where absent. Without a list, every category found gets its column: a table has so
+    many of them as can be columns, and their names are read to build the plan."""
+    if categories is None:
+        categories = [r["cat"] for r in shares.select("cat").distinct().orderBy("cat").collect()]
     picks = [F.sum(F.when(F.col("cat") == c, F.col("percent")).otherwise(0.0)).alias(c) for c in categories]
     return shares.groupBy("scope", "panel").agg(*picks)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridspark.operators.scale import average_rank, cumulative_mass, exact_quantiles, null_safe_join, one_row
+from gridspark.operators.scale import average_rank, cumulative_mass, exact_quantiles, null_safe_join
 
 
 def temporal_folds(
@@ -37,6 +37,11 @@ def assign_folds(df: DataFrame, folds: DataFrame, on: Sequence[str]) -> DataFram
     return df.join(folds, list(on))
 
 
+def digest_number(text):
+    """A 32-bit number from the MD5 digest of a text: the same in every engine."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def spatial_folds(df: DataFrame, group: str, n_folds: int = 5, balanced: bool = False) -> DataFrame:
     """Whole groups per fold: ``group, fold``.
 
@@ -44,7 +49,7 @@ def spatial_folds(df: DataFrame, group: str, n_folds: int = 5, balanced: bool =
     snake order (0..k-1, k-1..0, ...), so fold sizes stay close however uneven the groups are.
     """
     if not balanced:
-        return df.select(group).distinct().withColumn("fold", F.pmod(F.xxhash64(group), F.lit(n_folds)).cast("int"))
+        return df.select(group).distinct().withColumn("fold", (digest_number(F.col(group).cast("string")) % n_folds).cast("int"))
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).cast("double").alias("_n"))
     by_size = cumulative_mass(sizes, [], "_n", descending=True).select("_n", "before")
     sizes = sizes.join(by_size, "_n")
@@ -109,7 +114,7 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, draws: int =
     size = F.size("_v")
     picks = F.transform(
         F.sequence(F.lit(1), size),
-        lambda slot: F.element_at("_v", (F.pmod(F.xxhash64(F.col("draw"), slot, F.lit(seed)), size) + 1).cast("int")),
+        lambda slot: F.element_at("_v", (digest_number(F.concat_ws(",", F.col("draw"), slot, F.lit(seed))) % size + 1).cast("int")),
     )
     means = drawn.select(*keys, (F.aggregate(picks, F.lit(0.0), lambda a, x: a + x) / size).alias("mean"))
     interval = exact_quantiles(means, keys, "mean", {"ci_low": 0.025, "ci_high": 0.975})
@@ -117,8 +122,3 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, draws: int =
     return null_safe_join(centre, interval, keys, "inner") if keys else centre.select(
         "mean", *[interval.select(c).scalar().alias(c) for c in ("ci_low", "ci_high")]
     )
-
-
-def default_level(df: DataFrame, value: str):
-    """Mean of a column as a scalar."""
-    return one_row(df, F.avg(value).alias("m"))["m"]
