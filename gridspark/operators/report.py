@@ -12,8 +12,8 @@ from gridspark.functions import taxonomy
 from gridspark.operators.scale import null_safe_join, one_row, share_of, spearman
 
 
-def wide_grid(df: DataFrame, keys: Sequence[str], value: str = "waterstress", crops: Sequence[str] = tuple(taxonomy.CROPS)) -> DataFrame:
-    """One column per crop in publication order; absent crops are NULL."""
+def wide_grid(df: DataFrame, keys: Sequence[str], value: str = "waterstress", crops: Sequence[str] = tuple(taxonomy.BAND_ORDER)) -> DataFrame:
+    """One column per crop in the fixed order of published grids; absent crops are NULL."""
     return df.groupBy(*keys).agg(*[F.first(F.when(F.col("crop") == c, F.col(value)), ignorenulls=True).alias(c) for c in crops])
 
 

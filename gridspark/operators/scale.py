@@ -51,6 +51,17 @@ def literal_rows(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
     return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({names})")
 
 
+def number_rows(df: DataFrame, runs: Sequence[str], position: str, out: str) -> DataFrame:
+    """0-based numbers of rows that lie in contiguous runs; runs follow each other in the order of their keys.
+
+    ``position`` counts up by one inside a run; it and the keys are dropped. Only one row per run is put in order.
+    """
+    lengths = df.groupBy(*runs).agg(F.min(position).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = (F.sum("_n").over(Window.orderBy(*runs)) - F.col("_n") - F.col("_first")).alias("_shift")
+    shifts = lengths.select(*runs, before)
+    return df.join(shifts, list(runs)).withColumn(out, F.col("_shift") + F.col(position)).drop(*runs, position, "_shift")
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key, the first in ``order``; ties need a unique column in ``order``."""
     return _keep(df, keys, order, F.min_by)

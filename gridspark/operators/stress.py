@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from gridspark.operators.scale import number_rows
 from gridspark.session import cut_lineage
 
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -16,8 +16,8 @@ MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "O
 
 def with_row_number(df: DataFrame, out: str = "row_number") -> DataFrame:
     """Number rows in their stored order (0-based). Positions are counted per partition, not collected."""
-    schema = StructType([*df.schema.fields, StructField(out, LongType())])
-    return df.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1])).toDF(schema)
+    marked = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()))
+    return number_rows(marked.withColumn("_part", F.shiftright("_id", 33)), ["_part"], "_id", out)
 
 
 def concat_columns(left: DataFrame, right: DataFrame) -> DataFrame:

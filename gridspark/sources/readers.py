@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridspark.operators.features import long_index, unpivot_months
+from gridspark.operators.scale import number_rows
+from gridspark.session import cut_lineage
 
 
 def read_optional(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame | None:
@@ -73,12 +74,17 @@ def read_index_text(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str, rows: Sequence[int] | None = None) -> DataFrame:
-    """Headerless matrix CSV as ``(row, col, value)``, zeros left out.
+    """Headerless matrix CSV as ``(row, col, value)``, zeros left out; several files follow each other by path.
 
-    Line numbers come from per-partition counts. Unwanted rows go before any line is split.
+    Lines are counted per part of a file, and the parts put in order. Unwanted rows go before any line is split.
     """
-    schema = T.StructType([T.StructField("line", T.StringType()), T.StructField("row", T.LongType())])
-    lines = spark.sparkContext.textFile(path).zipWithIndex().toDF(schema)
+    read = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    lines = number_rows(cut_lineage(read), ["_path", "_start"], "_id", "row")
     if rows is not None:
         lines = lines.where(F.col("row").isin(list(rows)))
     cells = lines.select("row", F.posexplode(F.split("line", ",")).alias("col", "_v"))

@@ -10,17 +10,13 @@ from pyspark.sql import functions as F
 from gridspark.sources.readers import read_optional
 
 
-def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("crop", "year"), files: int = 1) -> None:
+def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("crop", "year")) -> None:
     """Zstandard Parquet partitioned by the keys; only partitions present in ``df`` are replaced.
 
-    Rows of one partition value are spread over ``files`` tasks by a hash of the row, so a large
-    partition is not written by a single task.
+    The adaptive planner merges small keys into one task and splits a large one over several (``rebalance``).
     """
-    columns = [F.col(c) for c in by]
-    if files > 1:
-        columns.append(F.pmod(F.xxhash64(*df.columns), F.lit(files)))
     (
-        df.repartition(*columns)
+        df.hint("rebalance", *[F.col(c) for c in by])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")

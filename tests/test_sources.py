@@ -7,7 +7,7 @@ from gridspark.sources import readers, writers
 def test_partitioned_round_trip_and_resume(frame, tmp_path, spark):
     path = str(tmp_path / "t")
     df = frame([("wh", 2000, 1.0), ("wh", 2001, 2.0), ("bar", 2000, 3.0)], "crop string, year int, v double")
-    writers.write_partitions(df, path, files=2)
+    writers.write_partitions(df, path)
     assert readers.read_crops(spark, path, "wh", 2001, 2005).count() == 1
     with pytest.raises(FileNotFoundError):
         readers.read_crops(spark, path, "soy", 2000, 2001)
