@@ -24,9 +24,8 @@ from pyspark.sql.window import Window
 
 from gridspark.session import cut_lineage
 
-# Rows of one value range that a single task orders. Beyond it the ranges are split further.
+# About so many rows of one value range are ordered by a single task.
 RANGE_ROWS = 2_000_000
-MAX_RANGES = 4096
 
 
 def one_row(df: DataFrame, *aggs: Column) -> Column:
@@ -114,12 +113,12 @@ def plain(value: Column) -> Column:
 def range_cuts(df: DataFrame, value: str, range_rows: int = RANGE_ROWS, rows: int | None = None) -> list[float]:
     """Boundaries that cut the values into ranges of about ``range_rows`` rows; none if one range is enough.
 
-    At most ``MAX_RANGES`` doubles reach the driver. ``rows`` is an upper bound of the row count, for
-    callers that know one; otherwise rows are counted.
+    One double per range reaches the driver. ``rows`` is an upper bound of the row count and only saves
+    counting; otherwise rows are counted.
     """
     if rows is None or rows > range_rows:
         rows = df.count()
-    n = min(MAX_RANGES, -(-rows // range_rows))
+    n = -(-rows // range_rows)
     if n <= 1:
         return []
     return sorted(set(df.approxQuantile(value, [i / n for i in range(1, n)], 1.0 / (4 * n))))
@@ -169,36 +168,35 @@ def order_masses(
     rows: int | None = None,
 ) -> DataFrame:
     """Mass before each distinct value and total per key, range by range."""
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     cuts = range_cuts(values, value, range_rows, rows)
     if not cuts:
         # All values together are one range.
         whole = Window.partitionBy(*keys)
-        run = F.sum("mass").over(whole.orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, 0))
+        order = whole.orderBy(F.col(value).desc() if descending else F.col(value).asc())
+        run = F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, 0))
         return values.select(*keys, value, "mass", (run - F.col("mass")).alias("before"), F.sum("mass").over(whole).alias("total"))
     ranged = value_ranges(values, value, "_range", cuts)
-    inside = Window.partitionBy(*keys, "_range").orderBy(direction(value))
-    local = ranged.withColumn("_run", F.sum("mass").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    # At most MAX_RANGES rows per key.
+    joined = null_safe_join(ranged, _range_offsets(ranged, keys, descending), [*keys, "_range"], "inner")
+    return joined.select(*keys, value, "mass", _mass_before(keys, value, descending).alias("before"), "total")
+
+
+def _range_offsets(ranged: DataFrame, keys: Sequence[str], descending: bool) -> DataFrame:
+    """Mass before each range, in it, and of all ranges, per key. One row per range and key is put in order."""
     per_range = ranged.groupBy(*keys, "_range").agg(F.sum("mass").alias("_in_range"))
-    across = Window.partitionBy(*keys)
-    offsets = per_range.select(
-        *keys,
-        "_range",
-        (
-            F.sum("_in_range").over(
-                across.orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, 0)
-            )
-            - F.col("_in_range")
-        ).alias("_offset"),
-        F.sum("_in_range").over(across).alias("total"),
-    )
-    joined = null_safe_join(local, offsets, [*keys, "_range"], "inner")
-    return joined.select(
-        *keys, value, "mass", (F.col("_offset") + F.col("_run") - F.col("mass")).alias("before"), "total"
+    whole = Window.partitionBy(*keys)
+    order = whole.orderBy(F.col("_range").desc() if descending else F.col("_range").asc())
+    run = F.sum("_in_range").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return per_range.select(
+        *keys, "_range", "_in_range", (run - F.col("_in_range")).alias("_offset"), F.sum("_in_range").over(whole).alias("total")
     )
 
 
+def _mass_before(keys: Sequence[str], value: str, descending: bool = False) -> Column:
+    """Mass before a value: that before its range, and that before it inside of the range."""
+    inside = Window.partitionBy(*keys, "_range").orderBy(F.col(value).desc() if descending else F.col(value).asc())
+    return F.col("_offset") + F.sum("mass").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("mass")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -209,22 +207,27 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles per key, exact at any group size.
 
-    The input is read once, as distinct values with counts. Up to ``range_rows`` of those use the
-    built-in ``percentile``; more are selected by rank from value ranges, so no task ever holds the
-    values of a whole group. ``rows`` is a known upper bound of the row count and saves counting.
+    The input is read once, as distinct values with counts. A sketch cuts the values into ranges (one, if they are few), masses per
+    range tell which ranges hold the positions asked for, and only those are put in order. ``rows`` is a known upper bound of the
+    row count and saves counting.
     """
     clean = df.select(*keys, plain(F.col(value)).alias(value)).where(F.col(value).isNotNull())
-    if rows is not None and rows <= range_rows:
-        return clean.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in quantiles.items()])
-    values = cut_lineage(value_masses(clean, keys, value))
-    found = values.count()
-    if found <= range_rows:
-        return values.groupBy(*keys).agg(*[F.percentile(value, F.lit(p), F.col("mass")).alias(n) for n, p in quantiles.items()])
-    ranked = order_masses(values, keys, value, range_rows=range_rows, rows=found)
+    values = value_masses(clean, keys, value)
+    if rows is None or rows > range_rows:
+        values = cut_lineage(values)
+    cuts = range_cuts(values, value, range_rows, rows)
+    positions = [index for p in quantiles.values() for index in _positions(F.col("total"), p)]
+    if cuts:
+        ranged = value_ranges(values, value, "_range", cuts)
+        holds = [(F.col("_offset") <= i) & (i < F.col("_offset") + F.col("_in_range")) for i in positions]
+        needed = _range_offsets(ranged, keys, False).where(reduce(lambda a, b: a | b, holds))
+        ranked = null_safe_join(ranged, needed, [*keys, "_range"], "inner")
+        ranked = ranked.select(*keys, value, "mass", _mass_before(keys, value).alias("before"), "total")
+    else:
+        ranked = order_masses(values, keys, value, rows=0)
     aggs, out = [], []
     for name, p in quantiles.items():
-        position = (F.col("total") - 1) * F.lit(float(p))
-        for tag, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+        for tag, index in zip(("lo", "hi"), _positions(F.col("total"), p), strict=True):
             holds = (F.col("before") <= index) & (index < F.col("before") + F.col("mass"))
             aggs.append(F.max(F.when(holds, F.col(value))).alias(f"_{tag}_{name}"))
         pos = (F.col("_total") - 1) * F.lit(float(p))
@@ -233,6 +236,12 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(F.max("total").alias("_total"), *aggs).select(*keys, *out)
 
 
+def _positions(total: Column, p: float) -> tuple[Column, Column]:
+    """The two 0-based positions between which a quantile lies."""
+    position = (total - 1) * F.lit(float(p))
+    return F.floor(position), F.ceil(position)
+
+
 def weighted_quantile(
     df: DataFrame,
     keys: Sequence[str],
