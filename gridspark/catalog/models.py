@@ -12,7 +12,7 @@ from gridspark.operators.quantile_trees import TreeParams, fit_quantile_trees
 from gridspark.session import cut_lineage
 
 FEATURES = ["qty", "discount", "tax", "month", "n"]
-SMALL = TreeParams(rounds=2, depth=3, rate=0.5, min_rows=10, bins=32)
+SMALL = TreeParams(rounds=2, depth=3, rate=0.5, min_rows=10, subsample=1.0, bins=32)
 PLAN = cascade.FoldPlan("time", 36, 24)
 
 
@@ -72,7 +72,7 @@ def param_sweep(t):
     folds = validation.temporal_folds(rows, "time", (), 36, 24)
     grid = {"depth": [2, 3], "rate": [0.5]}
     _, results = cascade.sweep(
-        grid, lambda c: cascade.cv_rmse(rows, folds, "time", FEATURES, "y", TreeParams(rounds=1, min_rows=10, bins=32, **c))
+        grid, lambda c: cascade.cv_rmse(rows, folds, "time", FEATURES, "y", TreeParams(rounds=1, min_rows=10, bins=32, subsample=1.0, **c))
     )
     return t.spark.createDataFrame([(c["depth"], c["rate"], s) for c, s in results], "depth int, rate double, rmse double")
 
@@ -81,9 +81,9 @@ def param_sweep(t):
 def regional_residual(t):
     rows = table(t)
     one = cascade.GlobalLayer(
-        FEATURES, {q: fit_quantile_trees(rows, ["month"], "y", q, TreeParams(rounds=1, depth=2, rate=0.5)) for q in cascade.QUANTILES}, None, None, [], SMALL
+        FEATURES, {q: fit_quantile_trees(rows, ["month"], "y", q, TreeParams(rounds=1, depth=2, rate=0.5, min_rows=20, subsample=1.0)) for q in cascade.QUANTILES}, None, None, [], SMALL
     )
-    layer = cascade.train_regional(rows, one, "y", plan=cascade.FoldPlan("time", 48, 24), params=TreeParams(rounds=1, depth=2, rate=0.5), min_samples=100)
+    layer = cascade.train_regional(rows, one, "y", plan=cascade.FoldPlan("time", 48, 24), params=TreeParams(rounds=1, depth=2, rate=0.5, min_rows=20, subsample=1.0), min_samples=100)
     return layer.decisions
 
 
@@ -101,7 +101,7 @@ def detector_corrector(t):
 @query("cascade_score", "regiontype:i n:i g_q50:4 gr_q50:4 gre_q50:4")
 def cascade_score(t):
     rows = table(t)
-    small = TreeParams(rounds=1, depth=2, rate=0.5)
+    small = TreeParams(rounds=1, depth=2, rate=0.5, min_rows=20, subsample=1.0)
     models = {q: fit_quantile_trees(rows, FEATURES, "y", q, small) for q in cascade.QUANTILES}
     layer = cascade.GlobalLayer(FEATURES, models, None, None, [], small)
     # The retrain path: regions adopted earlier, fitted on the full record.

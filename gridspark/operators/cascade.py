@@ -72,13 +72,19 @@ class RegionalLayer:
         names = [f"q{round(q * 100)}" for q in QUANTILES]
         for n in names:
             df = df.withColumn(f"gr_{n}", F.col(f"g_{n}"))
+        if not self.models:
+            return df
+        # Each row goes to the model of its own region; the rows are read once per adopted region.
+        df = cut_lineage(df)
+        out = df.where(F.col(region).isNull() | ~F.col(region).isin(*self.models))
         for key, models in self.models.items():
+            own = df.where(F.col(region) == key)
             for q, model in models.items():
                 n = f"q{round(q * 100)}"
-                df = model.transform(df, "_r")
                 fixed = F.greatest(F.col(f"g_{n}") + F.col("_r"), F.lit(0.0))
-                df = df.withColumn(f"gr_{n}", F.when(F.col(region) == key, fixed).otherwise(F.col(f"gr_{n}"))).drop("_r")
-        return df
+                own = model.transform(own, "_r").withColumn(f"gr_{n}", fixed).drop("_r")
+            out = out.unionByName(own)
+        return out
 
 
 @dataclass
@@ -229,8 +235,8 @@ def _average(params, tuned, fold_scores):
     return replace(params, **{n: mean[n] for n in names})
 
 
-def _regions(df: DataFrame, region: str) -> list[int]:
-    return sorted(r[0] for r in df.where(F.col(region).isNotNull()).select(region).distinct().collect())
+# The middle of the tuned range of residual models.
+REGIONAL = TreeParams(rounds=100, depth=4, rate=0.1, min_rows=5, subsample=0.8)
 
 
 def train_regional(
@@ -239,7 +245,7 @@ def train_regional(
     y: str,
     region: str = "regiontype",
     plan: FoldPlan = FoldPlan(),
-    params: TreeParams = TreeParams(),
+    params: TreeParams = REGIONAL,
     grid: dict[str, Sequence] | None = None,
     min_samples: int = 5000,
     threshold: float = 2.0,
@@ -353,9 +359,10 @@ def train_extreme(
     min_samples: int = 5000,
     min_extremes: int = 100,
     min_base_r2: float = 0.0,
-    depth: int = 4,
-    rounds: int = 20,
+    depth: int = 3,
+    rounds: int = 50,
     grid: dict[str, Sequence] | None = None,
+    corrector_grid: dict[str, Sequence] | None = None,
     only: Sequence[int] | None = None,
     **limits,
 ) -> ExtremeLayer:
@@ -401,7 +408,11 @@ def train_extreme(
         if grid:
             setting, _ = sweep(grid, lambda c: _detector_cv(mine, folds, plan.date, {**setting, **c}), higher=True)
             setting = {"depth": depth, "rounds": rounds, **setting}
-        table = _extreme_folds(mine, folds, plan.date, region, row_id, y, base, setting, limits)
+        repair = setting
+        if corrector_grid:
+            repair, _ = sweep(corrector_grid, lambda c: _corrector_cv(mine, folds, plan.date, {**setting, **c}))
+            repair = {**setting, **repair}
+        table = _extreme_folds(mine, folds, plan.date, region, row_id, y, base, setting, repair, limits)
         if table is None:
             records.append((key, False, "no_cv_metrics", None))
             continue
@@ -409,7 +420,7 @@ def train_extreme(
         records.append((key, verdict["adopted"], verdict["decision"], verdict["score"]))
         if verdict["adopted"]:
             detectors[key] = fit_detector(mine, "is_under", **setting)
-            correctors[key] = fit_corrector(mine.where("is_under"), "_res", **setting)
+            correctors[key] = fit_corrector(mine.where("is_under"), "_res", **repair)
     if only is not None:
         records = [(k, True, "retrained", None) for k in sorted(detectors)]
     decisions = df.sparkSession.createDataFrame(records, "region int, adopted boolean, decision string, score double")
@@ -426,7 +437,18 @@ def _detector_cv(mine, folds, date, setting):
     return sum(values) / len(values) if values else None
 
 
-def _extreme_folds(mine, folds, date, region, row_id, y, base, setting, limits):
+def _corrector_cv(mine, folds, date, setting):
+    """Mean root mean square error of the corrector over the folds."""
+    values = []
+    for fold in _fold_numbers(folds):
+        train, test = (part.where("is_under") for part in _parts(mine, folds, fold, date))
+        if train.limit(1).count() and test.limit(1).count():
+            scored = fit_corrector(train, "_res", **setting).transform(test)
+            values.append(scored.agg(F.sqrt(F.avg((F.col("prediction") - F.col("_res")) ** 2))).first()[0])
+    return sum(values) / len(values) if values else None
+
+
+def _extreme_folds(mine, folds, date, region, row_id, y, base, setting, repair, limits):
     """Fold metrics of the corrected prediction."""
     out = None
     for fold in _fold_numbers(folds):
@@ -435,7 +457,7 @@ def _extreme_folds(mine, folds, date, region, row_id, y, base, setting, limits):
         detector = fit_detector(train, "is_under", **setting)
         if detector is None or not under.limit(1).count():
             continue
-        corrector = fit_corrector(under, "_res", **setting)
+        corrector = fit_corrector(under, "_res", **repair)
         scored = _predict_extreme(test.withColumns({"_prob": F.lit(0.0), "_corr": F.lit(0.0)}), detector, corrector, F.lit(True))
         fixed = correction.bounded_correction(scored.drop("_vec"), [region], row_id, base, "_prob", "_corr", "_new", **limits)
         old, new = scores.core_scores(F.col(y), F.col(base)), scores.core_scores(F.col(y), F.col("_new"))

@@ -26,11 +26,13 @@ MISSING = -1e30
 
 @dataclass(frozen=True)
 class TreeParams:
-    rounds: int = 20
-    depth: int = 5
+    """Settings of one model; the defaults are those of the global layer."""
+
+    rounds: int = 150
+    depth: int = 8
     rate: float = 0.1
-    min_rows: int = 20
-    subsample: float = 1.0
+    min_rows: int = 3
+    subsample: float = 0.9
     bins: int = 64
     seed: int = 42
     checkpoint_every: int = 5

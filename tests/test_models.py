@@ -7,7 +7,7 @@ from gridspark.functions import scores
 from gridspark.operators import cascade
 from gridspark.operators.quantile_trees import QuantileTrees, TreeParams, fit_quantile_trees
 
-PARAMS = TreeParams(rounds=3, depth=3, rate=0.6, min_rows=5, bins=16)
+PARAMS = TreeParams(rounds=3, depth=3, rate=0.6, min_rows=5, bins=16, subsample=1.0)
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def test_quantile_trees_beat_the_constant(table, q):
 
 def test_leaf_values_are_leaf_quantiles(table):
     """One full-rate round: every leaf predicts the exact quantile of its rows."""
-    model = fit_quantile_trees(table, ["b"], "y", 0.5, TreeParams(rounds=1, depth=2, rate=1.0, min_rows=5))
+    model = fit_quantile_trees(table, ["b"], "y", 0.5, TreeParams(rounds=1, depth=2, rate=1.0, min_rows=5, subsample=1.0))
     pdf = model.transform(table, "p").select("b", "y", "p").toPandas()
     for _, g in pdf.groupby("p"):
         assert np.isclose(g.p.iloc[0], np.quantile(g.y, 0.5))
@@ -45,7 +45,7 @@ def test_leaf_values_are_leaf_quantiles(table):
 
 
 def test_save_and_load(table, tmp_path):
-    model = fit_quantile_trees(table, ["a", "b"], "y", 0.5, TreeParams(rounds=2, depth=2, rate=0.5))
+    model = fit_quantile_trees(table, ["a", "b"], "y", 0.5, TreeParams(rounds=2, depth=2, rate=0.5, min_rows=20, subsample=1.0))
     model.save(str(tmp_path / "m"))
     again = QuantileTrees.load(str(tmp_path / "m"))
     both = again.transform(model.transform(table, "p1"), "p2")
@@ -56,14 +56,14 @@ def test_save_and_load(table, tmp_path):
 
 def test_weights_pull_towards_heavy_rows(table):
     weighted = table.withColumn("w", F.when(F.col("y") > 5, 20.0).otherwise(1.0))
-    light = fit_quantile_trees(weighted, ["a"], "y", 0.5, TreeParams(rounds=1, depth=1))
-    heavy = fit_quantile_trees(weighted, ["a"], "y", 0.5, TreeParams(rounds=1, depth=1), weight="w")
+    light = fit_quantile_trees(weighted, ["a"], "y", 0.5, TreeParams(rounds=1, depth=1, min_rows=20, subsample=1.0))
+    heavy = fit_quantile_trees(weighted, ["a"], "y", 0.5, TreeParams(rounds=1, depth=1, min_rows=20, subsample=1.0), weight="w")
     assert heavy.start > light.start
 
 
 def test_cascade_end_to_end(table):
     plan = cascade.FoldPlan("time", 12, 36)
-    small = TreeParams(rounds=1, depth=2, rate=1.0, min_rows=5, bins=16)
+    small = TreeParams(rounds=1, depth=2, rate=1.0, min_rows=5, bins=16, subsample=1.0)
     layer = cascade.train_global(table, ["a"], "y", plan, small)
     assert layer.fold_scores.count() == 1
     assert layer.oof.count() == 12 * 12 and layer.oof.where("y_pred < 0").count() == 0
