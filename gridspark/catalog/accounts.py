@@ -329,3 +329,24 @@ def region_groups(t):
 def item_crop_match(t):
     items = t.part.select("p_type", F.concat("p_brand", F.lit("; "), "p_name", F.lit(", dry")).alias("names"))
     return mapping.match_items(items, "p_type", "names").groupBy("item", "crop").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ROWS = [(crop.replace("'", "''"), group, sector.replace("'", "''")) for crop, group, sector in mapping.concordance_rows()]
+_NUMBERED = ", ".join(f"({i}, '{crop}', '{group}', '{sector}')" for i, (crop, group, sector) in enumerate(_ROWS))
+
+
+@query(
+    "crop_concordance",
+    "region:s crop_group:s sector:s year:i value:2",
+    f"""WITH cc(n, crop, crop_group, sector) AS (VALUES {_NUMBERED})
+    SELECT 'R' || CAST(n_nationkey % 10 AS VARCHAR) AS region, crop_group, sector, year(o_orderdate) AS year, sum(o_totalprice) AS value
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN cc ON cc.n = o_orderkey % {len(_ROWS)} WHERE n_nationkey < 22 GROUP BY ALL""",
+)
+def crop_concordance(t):
+    """Orders dealt over all crops of the concordance, summed per sector."""
+    names = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("country")
+    )
+    crop = F.element_at(F.array(*[F.lit(r[0]) for r in mapping.concordance_rows()]), (F.col("o_orderkey") % len(_ROWS) + 1).cast("int"))
+    crops = t.orders.join(names, "o_custkey").select("country", crop.alias("crop"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("value"))
+    return mapping.sector_values(crops, mapping.crop_concordance(t.spark), regions(t))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,18 @@ def sector_lookup(spark) -> DataFrame:
     return literal_rows(spark, list(taxonomy.CROP_SECTOR.items()), "crop string, sector string")
 
 
+def concordance_rows() -> list[tuple[str, str, str]]:
+    """The fixed concordance (statistics crop, crop code, sector); a few kilobytes beside this package, read by the driver."""
+    with (Path(__file__).parents[1] / "data" / "crop_concordance.csv").open(newline="", encoding="utf-8") as file:
+        lines = [line for line in file if not line.startswith("#")]
+    return [(r["crop_175"], r["crop_27"], r["sector_14"]) for r in csv.DictReader(lines)]
+
+
+def crop_concordance(spark) -> DataFrame:
+    """``(crop, crop_group, sector)`` as ``sector_values`` takes it."""
+    return literal_rows(spark, concordance_rows(), "crop string, crop_group string, sector string")
+
+
 def match_items(items: DataFrame, item: str, names: str) -> DataFrame:
     """Statistics item to grid crop names; the names column may list several, separated by ``;``.
 
