@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators.scale import exact_quantiles, null_safe_join, top_by
+from gridspark.operators.scale import exact_quantiles, lookup_join, null_safe_join, top_by
 from gridspark.session import cut_lineage
 
 
@@ -30,7 +30,7 @@ def label_extremes(
 ) -> DataFrame:
     """Flags of high truth, of high truth predicted too low and of high truth predicted too high."""
     level = exact_quantiles(df, keys, y, {"threshold": q})
-    joined = null_safe_join(df, level, keys, "inner")
+    joined = lookup_join(df, level, keys, "inner")
     high = F.col(y) >= F.col("threshold")
     return joined.withColumns(
         {
@@ -79,7 +79,7 @@ def bounded_correction(
         F.floor(F.count(F.lit(1)) * max_share).alias("_cap"), F.sum(base).alias("_sum_base")
     )
     eligible = df.where(F.col(prob) >= threshold).select(*keys, row_id, prob)
-    limited = null_safe_join(eligible, counts.select(*keys, "_cap"), keys, "inner")
+    limited = lookup_join(eligible, counts.select(*keys, "_cap"), keys, "inner")
     chosen = top_by(limited, keys, prob, row_id, "_cap", "_chosen", size=size).where("_chosen").select(*keys, row_id, "_chosen")
     marked = null_safe_join(df, chosen, [*keys, row_id], "left")
     limit = F.abs(base) * max_relative
@@ -91,7 +91,7 @@ def bounded_correction(
     factor = F.when(
         (F.col("_sum_base") > 0) & (F.abs("_change") > allowed), allowed / F.abs("_change")
     ).otherwise(1.0)
-    joined = null_safe_join(staged, limits.select(*keys, factor.alias("_factor")), keys, "inner")
+    joined = lookup_join(staged, limits.select(*keys, factor.alias("_factor")), keys, "inner")
     value = F.greatest(F.col(base) + F.col("_step") * F.col("_factor"), F.lit(0.0))
     return joined.withColumns({out: value, "corrected": F.coalesce("_chosen", F.lit(False))}).drop("_chosen", "_step", "_factor")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions import scores
-from gridspark.operators.scale import exact_quantiles, null_safe_join
+from gridspark.operators.scale import exact_quantiles, lookup_join, null_safe_join
 from gridspark.session import cut_lineage
 
 
@@ -28,7 +28,7 @@ def extreme_scores(
     valid = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     truth = exact_quantiles(valid, keys, y, {f"_y{q}": q / 100 for q in percentiles})
     guess = exact_quantiles(valid, keys, p, {f"_p{q}": q / 100 for q in percentiles})
-    joined = null_safe_join(null_safe_join(valid, truth, keys, "inner"), guess, keys, "inner")
+    joined = lookup_join(lookup_join(valid, truth, keys, "inner"), guess, keys, "inner")
     spread = F.max(y) - F.min(y)
     spread = F.when(spread == 0, 1.0).otherwise(spread)
     aggs = []
@@ -80,7 +80,7 @@ def half_threshold_hits(df: DataFrame, keys: Sequence[str], y: str = "y_true", p
     level = null_safe_join(
         exact_quantiles(positive, keys, y, {"_t": 0.9}), positive.groupBy(*keys).agg(F.count(F.lit(1)).alias("_np")), keys, "inner"
     )
-    joined = null_safe_join(df, level, keys, "left")
+    joined = lookup_join(df, level, keys, "left")
     high = F.col(y) >= F.col("_t")
     hit = high & (F.col(p) >= F.col("_t") * 0.5)
     enough = (F.count(F.lit(1)) > 10) & (F.max("_np") > 10)
@@ -91,7 +91,7 @@ def half_threshold_hits(df: DataFrame, keys: Sequence[str], y: str = "y_true", p
 def absolute_hits(df: DataFrame, keys: Sequence[str], y: str = "y_true", p: str = "y_pred", q: float = 0.9) -> DataFrame:
     """Share of true highs the prediction also puts above the truth's own threshold."""
     level = exact_quantiles(df, keys, y, {"_t": q})
-    joined = null_safe_join(df, level, keys, "inner")
+    joined = lookup_join(df, level, keys, "inner")
     high = F.col(y) >= F.col("_t")
     n_high = F.count(F.when(high, 1))
     return joined.groupBy(*keys).agg(

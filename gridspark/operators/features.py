@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridspark.functions import calendar, geo, taxonomy
-from gridspark.operators.scale import exact_quantiles, keep_last, null_safe_join, one_row
+from gridspark.operators.scale import exact_quantiles, keep_last, lookup_join, one_row
 
 
 def month_mask(target: DataFrame, value: str = "waterstress") -> DataFrame:
@@ -91,7 +91,7 @@ def impute_medians(df: DataFrame, value: str, levels: Sequence[Sequence[str]], f
         basis = filled if fit is None else filled.where(fit)
         medians = exact_quantiles(basis, keys, value, {"_median": 0.5})
         if keys:
-            joined = null_safe_join(filled, medians, keys, "left")
+            joined = lookup_join(filled, medians, keys, "left")
             filled = joined.withColumn(value, F.coalesce(value, "_median")).drop("_median")
         else:
             filled = filled.withColumn(value, F.coalesce(F.col(value), medians.select("_median").scalar()))

@@ -104,6 +104,23 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+# A per-key table of up to so many rows is sent to every task.
+LOOKUP_ROWS = 10_000
+
+
+def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``null_safe_join`` with one row per key on the right.
+
+    The right side is materialised and counted: up to ``LOOKUP_ROWS`` rows it is broadcast, so that facts are not shuffled on a few
+    keys; beyond, both sides are shuffled. The result is the same.
+    """
+    if keys:
+        right = cut_lineage(right)
+        if right.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
+            right = F.broadcast(right)
+    return null_safe_join(left, right, keys, how)
+
+
 def plain(value: Column) -> Column:
     """A double with one zero: -0.0 and 0.0 compare equal but may fail to meet as join keys."""
     value = value.cast("double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridspark.operators.scale import average_rank, cumulative_mass, exact_quantiles, null_safe_join
+from gridspark.operators.scale import average_rank, cumulative_mass, exact_quantiles, lookup_join, null_safe_join
 
 
 def temporal_folds(
@@ -78,7 +78,7 @@ def sample_weights(
     """Weights that rise with the target: clip(1 + alpha * y / quantile of positive y, 1, cap)."""
     level = exact_quantiles(df.where(F.col(y) > 0), keys, y, {"_q": q})
     if keys:
-        joined = null_safe_join(df, level, keys, "left")
+        joined = lookup_join(df, level, keys, "left")
     else:
         joined = df.withColumn("_q", level.select("_q").scalar())
     reference = F.when(F.col("_q") > 0, F.col("_q")).otherwise(1.0)
