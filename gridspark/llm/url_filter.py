@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ from gridspark.session import cut_lineage
 
 DIM = 16384
 SIZES = (3, 4, 5)
-THRESHOLD = 0.32
+THRESHOLD = 0.42
 REGULARISATION = 0.0003
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -89,14 +89,15 @@ def train(labelled: DataFrame, url: str = "url", label: str = "blocked", dim: in
     """Fit to (url, label 0 or 1); rows without a label are left out."""
     known = labelled.filter(F.col(label).isNotNull())
     host, path = url_parts(F.col(url))
-    found = cut_lineage(known.select(F.col(label).cast("double").alias("label"), url_features(host, path, dim=dim).alias("f")))
+    numbers = url_features(host, path, dim=dim).cast("array<string>")
+    found = cut_lineage(known.select(F.col(label).cast("double").alias("label"), numbers.alias("f")))
     ones, rows = found.agg(F.sum("label"), F.count("*")).first()
     if not rows or ones in (0, rows):
         return Weights((0.0,) * dim, 35.0 if rows and ones else -35.0)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.array_contains("f", i.cast("int")).cast("double"))
-    vectors = found.select("label", array_to_vector(dense).alias("features"))
-    model = LogisticRegression(maxIter=60, regParam=REGULARISATION, standardization=False).fit(vectors)
-    return Weights(tuple(model.coefficients.toArray().tolist()), float(model.intercept))
+    names = CountVectorizer(inputCol="f", outputCol="features", vocabSize=dim, binary=True).fit(found)
+    model = LogisticRegression(maxIter=60, regParam=REGULARISATION, standardization=False).fit(names.transform(found))
+    values = dict(zip(map(int, names.vocabulary), model.coefficients.toArray().tolist(), strict=True))
+    return Weights(tuple(values.get(i, 0.0) for i in range(dim)), float(model.intercept))
 
 
 def url_score(features: Column, weights: Weights) -> Column:

@@ -133,11 +133,50 @@ https://blog.train-travel.example/de/26
 http://m.winter-sports.example/fr/68
 https://www.the-other.example/en/57
 http://blog.hither.example/es/39
+https://www.there-and-back.example/en/12
+http://m.another.example/de/48
+https://blog.weatherman.example/fr/31
+http://thread.example/en/75
+https://www.brother.example/es/20
+http://m.rather.example/en/66
+https://thesis.example/de/9
+http://blog.author.example/fr/58
+https://www.stable.example/en/43
+http://station.example/es/82
+https://m.nation.example/de/17
+http://blog.table.example/en/34
+https://www.within.example/fr/95
+http://than.example/en/28
+https://m.thorn.example/es/61
+http://blog.month.example/de/5
+https://www.earth.example/en/86
+http://south.example/fr/13
+https://m.reading.example/en/50
+http://blog.lettering.example/es/7
+https://www.motion.example/de/92
+http://ethics.example/en/24
+https://m.anthem.example/fr/46
+http://blog.thousand.example/en/71
+https://www.whether.example/es/38
+http://northern.example/de/60
+https://m.either.example/en/19
+http://blog.lithium.example/fr/84
+https://www.method.example/en/2
+http://mother-tongue.example/es/53
 """
 
 
+# Every host is listed with these paths as well, under some domains, so that neither of them tells the labels apart.
+PATHS = ["/en/1", "/de/2.html", "/fr/3/", "/es/4"]
+DOMAINS = [".example.com", ".example.net", ".example.org"]
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, blocked)."""
-    listed = [F.explode(F.split(F.lit(text.strip()), "\n")).alias("url") for text in (BLOCKED, ALLOWED)]
-    one = spark.range(1)
-    return one.select(listed[0]).withColumn("blocked", F.lit(1)).union(one.select(listed[1]).withColumn("blocked", F.lit(0)))
+    parts = []
+    for text, label in ((BLOCKED, 1), (ALLOWED, 0)):
+        listed = spark.range(0, 1, 1, 1).select(F.explode(F.split(F.lit(text.strip()), "\n")).alias("url"))
+        begin = F.regexp_extract("url", "^(.*?)[.]example/", 1)
+        more = [F.concat(begin, F.lit(DOMAINS[i % len(DOMAINS)]), F.lit(path)) for i, path in enumerate(PATHS)]
+        parts.append(listed.select(F.explode(F.array(F.col("url"), *more)).alias("url"), F.lit(label).alias("blocked")))
+    return parts[0].union(parts[1])
