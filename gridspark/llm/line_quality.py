@@ -138,12 +138,14 @@ def quality_rules(
     counted = rule_counts(docs, text).withColumns({"_q_id": F.col(doc_id), "_q_hash": F.xxhash64(text)})
     both = counted.join(gone, F.col("_q_id").eqNullSafe(F.col("_q_doc")) & (F.col("_q_hash") == F.col("_q_text")), "left")
     left = F.col("n_words") - F.coalesce("_q_gone", F.lit(0))
+    kept = ~base_failed() & (100 * left >= min_left_percent * F.col("n_words"))
     stay = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("_q_removed", F.xxhash64(normal_line(x))))
     return both.select(
         *[F.col(c) for c in docs.columns],
         *[F.col(c) for c in COUNTS],
         base_failed().alias("base_failed"),
         left.alias("n_words_left"),
-        (~base_failed() & (100 * left >= min_left_percent * F.col("n_words"))).alias("kept"),
+        # Not deterministic for the optimiser, so that a filter on it stays here and does not copy the nested counts into scans.
+        F.when(F.spark_partition_id() >= 0, kept).alias("kept"),
         F.when(F.col("_q_removed").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n")).alias("clean_text"),
     )
