@@ -6,18 +6,22 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gridspark.catalog import entries
 
+QUERIES = {name: e.run for name, e in entries().items()}
+SQL = {name: e.sql for name, e in entries().items() if e.sql is not None}
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 SAMPLE = [
     "stress_by_region_month", "gap_fill_months", "outer_merge_sources", "bilinear_regrid", "nearest_station", "point_in_polygon",
     "area_allocation", "annual_to_month", "scaling_factors", "lag_features", "median_impute", "asof_year_fallback", "temporal_cv",
     "bounded_correction", "kge_multilevel", "sector_allocation", "account_agreement", "footprint_indirect", "trade_shares",
-    "top_regions_with_crops",
+    "top_regions_with_crops", "group_kfold", "group_hash_folds", "bootstrap_ci", "attribution_of_years", "footprint_balance", "yearly_scan",
+    "written_keys", "crop_concordance", "share_pivot", "positional_concat",
 ]
-# Iterative fits and hashed draws: no SQL says the same.
+# Iterative fits: no SQL says the same.
 WITHOUT_SQL = {
-    "group_hash_folds", "bootstrap_ci", "quantile_trees_fit", "weighted_trees_fit", "global_layer", "param_sweep", "regional_residual",
+    "quantile_trees_fit", "weighted_trees_fit", "global_layer", "param_sweep", "regional_residual",
     "detector_corrector", "cascade_score",
 }
 
@@ -33,20 +37,21 @@ def con():
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(SQL) == WITHOUT_SQL
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @needs_data
 def test_all_sql_runs(con):
-    for name, sql in entry.oracle_sql().items():
+    for name, sql in SQL.items():
         assert con.execute(sql).description, name
 
 
 @needs_data
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_matches_sql(spark, con, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    cur = con.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    cur = con.execute(SQL[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(df.columns)
     got, want = df.select(*names).collect(), cur.fetchall()
@@ -55,11 +60,11 @@ def test_query_matches_sql(spark, con, name):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["stress_by_region_month", "group_kfold", "importance_ranking", "mass_rescale_regrid", "totals_vs_base"])
+@pytest.mark.parametrize("name", ["stress_by_region_month", "group_kfold", "importance_ranking", "mass_rescale_regrid", "totals_vs_base", "positional_concat", "extreme_labels", "median_impute"])
 def test_plans_have_no_pairwise_joins(spark, name):
-    df = entry.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan and "EvalPython" not in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "EvalPython" not in plan and "MapIn" not in plan
 
 
 @needs_data
