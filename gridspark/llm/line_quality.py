@@ -26,7 +26,7 @@ WINDOW = 3
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MAX_DOCS_PER_LINE = 50
+MAX_DOCS_PER_LINE = 5
 MIN_LEFT_PERCENT = 30
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -67,3 +67,14 @@ def test_random_fixture_matches_brute_force(docs):
         assert out[i].clean_text == "\n".join(left) and out[i].n_words_left == words
         n, _, _, _, repeats = brute_counts(t)
         assert out[i].kept == (n >= 50 and 100 * repeats <= 50 * n and 100 * words >= 30 * n)
+
+
+def test_default_limit_reaches_small_hosts_and_the_given_documents(spark, docs):
+    shared = prose(1, 40)
+    pairs = [(i, f"{shared}\n{prose(i + 10, 60 if i else 5)}") for i in range(9)] + [(i, f"{shared}\n{prose(i + 10, 15)}") for i in range(20, 22)]
+    out = {r.doc_id: r for r in quality_rules(docs(pairs)).collect()}
+    assert out[0].n_words_left == 45 and all(out[i].kept and out[i].n_words_left == 60 for i in range(1, 9))
+    assert not out[20].kept and not out[20].base_failed and out[21].clean_text == prose(31, 15)
+    given = quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    lost = [r.n_words - r.n_words_left for r in given.filter("n_words_left < n_words").collect()]
+    assert (len(lost), sum(lost)) == (97, 1125)
