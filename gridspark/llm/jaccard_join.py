@@ -181,6 +181,11 @@ def _pairs(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(a, b.size), np.tile(b, a.size)
 
 
+def _repeats(group: pa.RecordBatch | pa.Table, side: np.ndarray) -> bool:
+    """Whether a group of two blocks holds rows of one only; that block meets itself in a group of its own."""
+    return group.column("low")[0].as_py() != group.column("high")[0].as_py() and side.min() == side.max()
+
+
 def _prune(least: list[int]):
     """Sorted bucket blocks to edges (u, v) of a forest of their surviving pairs."""
 
@@ -190,6 +195,8 @@ def _prune(least: list[int]):
             ids = group.column("rep").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, side = ids[order], group.column("block").to_numpy()[order]
+            if _repeats(group, side):
+                continue
             signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(-1, HASHES)[order]
             i, j = survivors(signature, signature, *_pairs(side), least)
             root = _roots(ids.size, i, j)
@@ -273,7 +280,7 @@ def _verify(threshold: float):
             cuts = np.searchsorted(owner, np.arange(len(digests) + 1))
             sets = [np.unique(hashes[cuts[k] : cuts[k + 1]]) for k in once.tolist()]
             ids, side, copies = ids[once], group.column("block").to_numpy()[once], group.column("copies").to_numpy()[once]
-            if ids.size < 2:
+            if ids.size < 2 or _repeats(group, side):
                 continue
             i, j = _links(sets, side, threshold)
             links = np.bincount(i, copies[j], ids.size) + np.bincount(j, copies[i], ids.size)

@@ -56,6 +56,12 @@ def test_blocks_give_the_same_result(docs, monkeypatch):
     assert found(J.near_duplicates(docs(corpus()))) == brute(corpus())
 
 
+def test_two_documents_in_one_of_several_blocks_count_once(docs, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 100)
+    pairs = [(2 * k + side, edited(prose(60 + k, 150), side)) for k in range(16) for side in range(2)]
+    assert found(J.near_duplicates(docs(pairs))) == brute(pairs) == {i: (i - i % 2, 1) for i, _ in pairs}
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark, docs):
     text = prose(4, 40)
     rows = docs([(1, text), (1, text), (1, "short"), (2, text), (None, text)]).selectExpr("*", "1 AS class_id", "'k' AS keys", "0 AS rep")
