@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridspark.llm.decontaminate import contamination
 from gridspark.llm.jaccard_join import near_duplicates
 from gridspark.llm.line_quality import quality_rules
-from gridspark.llm.packing import pack, word_count
+from gridspark.llm.packing import pack_apart
 from gridspark.llm.pii_crf import personal_data, train
 from gridspark.llm.pii_seed import labelled_tokens
 from gridspark.llm.token_blocks import shared_path
@@ -46,9 +46,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin and the place of every piece of every document."""
-    text = F.col("text")
-    return pack(docs, word_count(text), F.col("source"), F.when(text != "", F.sha2(text, 256)))
+    """The bin and the place of every piece of every document; texts that are near copies once they are masked are one cluster."""
+    return pack_apart(docs)
 
 
 STAGES = [

@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm.jaccard_join import near_duplicates
 from gridspark.llm.textbytes import sorted_groups
+from gridspark.session import cut_lineage
 
 CAPACITY = 2048
 SHARD_DOCS = 4096
@@ -138,3 +140,26 @@ def pack(
         *nulls, "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("piece_start"), F.lit(0).alias("length")
     )
     return filled.union(empty)
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_p_key, _p_class): the class of near copies of every document and text, by a hash of both.
+
+    The hash takes the place of the id, so that rows with a null doc_id and different texts of one doc_id are compared as well.
+    """
+    key = F.xxhash64(doc_id, text).alias("_p_key")
+    return near_duplicates(docs.select(key, text), "_p_key", text).select(F.col("doc_id").alias("_p_key"), F.col("class_id").alias("_p_class"))
+
+
+def pack_apart(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY) -> DataFrame:
+    """``pack`` by words, with near copies as clusters; texts of marks alone, which have no shingles, are one cluster if they are equal."""
+    worded = F.col(text).rlike("[0-9A-Za-z]|[^\\x00-\\x7F]")
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"),
+        F.col(source).alias("source"),
+        word_count(F.col(text)).alias("size"),
+        F.xxhash64(doc_id, text).alias("_p_key"),
+        F.when(~worded, F.xxhash64(text)).alias("_p_marks"),
+    )
+    rows = cut_lineage(rows.join(near_copies(docs, doc_id, text), "_p_key", "left"))
+    return pack(rows, F.col("size"), F.col("source"), F.coalesce("_p_marks", "_p_class"), capacity=capacity)

@@ -1,13 +1,10 @@
 """Query of best-fit packing."""
 
-from pyspark.sql import functions as F
-
 from gridspark.llm.base import query, table
-from gridspark.llm.packing import pack, word_count
+from gridspark.llm.packing import pack_apart
 
 
 @query("op8_packing")
 def op8_packing(spark, sf_dir):
-    """The place of every document; equal texts are one cluster."""
-    text = F.col("text")
-    return pack(table(spark, sf_dir, "documents"), word_count(text), F.col("source"), F.when(text != "", F.sha2(text, 256)))
+    """The place of every document; near copies are one cluster."""
+    return pack_apart(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gridspark.llm.packing import pack, pack_shard, word_count
+from gridspark.llm.packing import pack, pack_apart, pack_shard, word_count
 
 from .conftest import prose
 
@@ -74,3 +74,17 @@ def test_repeated_rows_null_ids_and_empty_table(docs):
     out = pack(docs([(1, "a b"), (1, "a b"), (None, "c")]).selectExpr("*", "'x' AS shard", "5 AS size"), *args).collect()
     assert sorted(r.length for r in out) == [1, 2, 2] and len({r.bin_id for r in out}) == 3
     assert pack(docs([]), *args).collect() == []
+
+
+def test_near_copies_of_other_sources_share_no_bin(docs):
+    base = prose(5, 60)
+    copies = [base, base.upper(), base.replace(" ", ", "), " ".join(["changed", *base.split()[1:]])]
+    rows = [(i, t) for i, t in enumerate(copies)] + [(None, f"{base}!"), (7, prose(6, 9)), (7, f"{base}."), (8, "-- ?"), (9, "-- ?"), (10, prose(8, 30))]
+    table = docs(rows, None).withColumn("source", F.concat(F.lit("s"), F.xxhash64("doc_id", "text")))
+    bins = {}
+    for r in pack_apart(table).collect():
+        bins.setdefault((r.doc_id, r.length), []).append(r.bin_id)
+    near = sum((bins[k, 60] for k in (0, 1, 2, 3, None, 7)), [])
+    assert len(set(near)) == len(near) == 6
+    assert bins[8, 2] != bins[9, 2]
+    assert bins[10, 30][0] in near and bins[7, 9][0] in near
