@@ -1,8 +1,9 @@
 """Personal data: patterns with exact rules, and spans of a linear-chain conditional random field over word shapes.
 
 The base kinds (email, ip, card, phone) follow fixed patterns. The field adds tel (numbers without a country sign), secret, ssn and iban
-where they do not overlap a base span. It labels the tokens with a digit, between white space; all other tokens are outside by
-definition, so a text falls into short chains of neighbouring tokens with digits. Features are the token's shape, its length, its
+where they do not overlap a base span. It labels tokens between white space: those with a digit and their neighbours (letter groups
+of account numbers), cue words such as "password" and the ``REACH`` tokens after them (secrets of letters only). All other tokens are
+outside by definition, so a text falls into short chains of neighbouring tokens. Features are the token's shape, its length, its
 letters and the words before it. ``train`` maximises the likelihood on a small labelled table (at most ``MAX_TOKENS`` rows,
 which the driver reads); decoding is Viterbi over numpy batches of chains of equal length.
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm.textbytes import chunks, code_points, runs, text_bytes
+from gridspark.llm.textbytes import LOWER, chunks, code_points, runs, text_bytes
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("tel", "secret", "ssn", "iban")
@@ -33,6 +34,11 @@ MAX_TOKENS = 100_000
 EPOCHS = 150
 BUCKETS = 4096
 
+DIGIT = np.zeros(256, dtype=bool)
+DIGIT[0x30:0x3A] = True
+GAP = np.zeros(256, dtype=bool)
+GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 EMAIL_HEAD = re.compile(r"[^A-Za-z0-9._%+-]")
 # A start inside a run of digits could only match where the start of the run does, so it is not tried.
@@ -145,15 +151,31 @@ def token_features(token: str, before: str, before2: str) -> list[int]:
     return [_hash(p) for p in parts]
 
 
-def chains(tokens: list[tuple[int, int, str]], places: list[int]) -> list[list[int]]:
-    """Runs of tokens with digits that are neighbours in the text; ``places`` are their numbers among all tokens of the text."""
-    out: list[list[int]] = []
-    for i, place in enumerate(places):
-        if out and places[out[-1][-1]] == place - 1:
-            out[-1].append(i)
-        else:
-            out.append([i])
-    return out
+# A token that ends in a cue word, in lower case, and marks; at the end of a text nothing can follow it.
+CUE = re.compile(rb"(?:passwor[dt]|passwd|passphrase|passcode|pwd|token|secret|key|bearer|auth|credentials?)[\"')\]:=>]*(?=[ \t\n\x0b\x0c\r])")
+REACH = 3
+
+
+def field_places(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that the field labels, in order, and their texts; ``starts`` are the tokens' first bytes."""
+    digits = np.unique(np.searchsorted(starts, np.flatnonzero(DIGIT[data]), side="right") - 1)
+    cues = np.array([m.start() for m in CUE.finditer(LOWER[data].tobytes())], np.int64)
+    cues = np.unique(np.searchsorted(starts, cues, side="right") - 1)
+    reached = [(digits, k) for k in (-1, 0, 1)] + [(cues, k) for k in range(REACH + 1)]
+    origin = np.concatenate([at for at, _ in reached]).astype(np.int64)
+    places = np.concatenate([at + k for at, k in reached]).astype(np.int64)
+    inside = (places >= 0) & (places < starts.size)
+    origin, places = origin[inside], places[inside]
+    texts = np.searchsorted(offsets, starts[places], side="right") - 1
+    same = texts == np.searchsorted(offsets, starts[origin], side="right") - 1
+    places, first = np.unique(places[same], return_index=True)
+    return places, texts[same][first]
+
+
+def chains(places: np.ndarray, texts: np.ndarray) -> list[np.ndarray]:
+    """Runs of neighbouring tokens of a text, as positions in ``places``."""
+    breaks = np.flatnonzero((np.diff(places) != 1) | (np.diff(texts) != 0)) + 1
+    return np.split(np.arange(places.size), breaks) if places.size else []
 
 
 def viterbi(scores: np.ndarray, field: Field) -> np.ndarray:
@@ -231,9 +253,10 @@ def train(labelled: DataFrame, max_tokens: int = MAX_TOKENS) -> Field | None:
     data = []
     for line in lines.values():
         words = [w for w, _ in line]
-        places = [i for i, w in enumerate(words) if any(c in "0123456789" for c in w)]
-        for chain in chains([(0, 0, words[p]) for p in places], places):
-            at = [places[i] for i in chain]
+        line_data, offsets = text_bytes(pa.array([" ".join(words)]))
+        places, texts = field_places(line_data, offsets, runs(~GAP[line_data], offsets)[0])
+        for chain in chains(places, texts):
+            at = places[chain].tolist()
             features = [token_features(words[p], words[p - 1] if p else "", words[p - 2] if p > 1 else "") for p in at]
             data.append((features, [labels.index(line[p][1]) for p in at]))
     return fit(data, labels) if data else None
@@ -241,29 +264,20 @@ def train(labelled: DataFrame, max_tokens: int = MAX_TOKENS) -> Field | None:
 
 # ---- texts ------------------------------------------------------------------------------------------------------------------
 
-DIGIT = np.zeros(256, dtype=bool)
-DIGIT[0x30:0x3A] = True
-GAP = np.zeros(256, dtype=bool)
-GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-
-
 def field_spans(column: pa.Array, field: Field) -> dict[int, list[tuple[int, int, int]]]:
     """For each text with hits: (start, kind number, end) of the spans that the field finds."""
     data, offsets = text_bytes(column)
-    digits = np.flatnonzero(DIGIT[data])
-    if not digits.size:
-        return {}
     starts, ends = runs(~GAP[data], offsets)
-    places = np.unique(np.searchsorted(starts, digits, side="right") - 1)
-    texts = np.searchsorted(offsets, starts[places], side="right") - 1
+    places, texts = field_places(data, offsets, starts)
+    if not places.size:
+        return {}
     raw, points = data.tobytes(), code_points(data)
 
     def word(i: int, text: int) -> str:
         return raw[starts[i] : ends[i]].decode(errors="replace") if i >= 0 and starts[i] >= offsets[text] else ""
 
-    breaks = np.flatnonzero((np.diff(places) != 1) | (np.diff(texts) != 0)) + 1
     by_length: dict[int, list[np.ndarray]] = defaultdict(list)
-    for chain in np.split(np.arange(places.size), breaks):
+    for chain in chains(places, texts):
         by_length[chain.size].append(chain)
     scores: dict[tuple[str, str, str], np.ndarray] = {}
 
@@ -277,6 +291,7 @@ def field_spans(column: pa.Array, field: Field) -> dict[int, list[tuple[int, int
     found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for group in by_length.values():
         labels = viterbi(np.array([[emission(i) for i in chain] for chain in group]), field)
+        reached = None  # the last token of the span at the end of its text's list
         for r, c in zip(*np.nonzero(labels), strict=True):
             i = int(group[r][c])
             text, at = int(texts[i]), int(places[i])
@@ -286,10 +301,13 @@ def field_spans(column: pa.Array, field: Field) -> dict[int, list[tuple[int, int
             start = int(points[starts[at]] - points[offsets[text]]) + body.find(inner)
             span = (start, KINDS.index(kind), start + len(inner))
             spans = found[text]
-            if begin == "I" and c and spans and labels[r, c - 1] and spans[-1][1] == span[1]:
-                spans[-1] = (spans[-1][0], span[1], span[2])
+            if begin == "I" and reached == (r, c - 1) and spans[-1][1] == span[1]:
+                if inner:
+                    spans[-1] = (spans[-1][0], span[1], span[2])
+                reached = (r, c)
             elif inner:
                 spans.append(span)
+                reached = (r, c)
     return found
 
 

@@ -43,6 +43,38 @@ iban [iban DE44500105175407324931] please
 pay to [iban FR1420041010050500013M02606] by noon
 iban: [iban ES9121000418450200051332] bank
 konto [iban AT61 1904 3002 3457 3201] danke
+iban [iban GB82 WEST 1234 5698 7654 32] today
+the account [iban NL91 ABNA 0417 1643 00] is open
+iban: [iban IE29 AIBK 9311 5212 3456 78] please
+iban [iban MT84 MALT 0110 0012 345M LCAS TLE5 1S] bank
+pay into [iban RO49 AAAA 1B31 0075 9384 0000] soon
+password = [secret "letmeinplease"] in the config
+passwd = [secret "opensesame"]
+token = [secret "abcdefghijklmnop"] and so on
+secret = [secret 'qwertyuiop']
+api_key = [secret "ZxKLmQpRsTuVwAb"] # set
+pwd = [secret "swordfish"] then
+secret_key = [secret AbCdEfGhIjKlMnOp]
+password = [secret trustnoone] here
+the key to the door was lost
+a token of his love and thanks
+the secret of the garden is out
+forgot the password and left
+your password is wrong again
+key words in the text
+keep it a secret from them
+the token was sent to the author
+key = value pairs in a table
+flight BA 2490 from LHR at 9
+in MAY 2019 and JUNE 2020 the
+room 12 WEST wing 14 floor
+order 7536784127813051 was sent
+the 4931552730981164 of them
+in lot 88120047 5511209347716320 more
+from 203.118.40.7 to 11.22.33.44 here
+at 10.20.30.40 nevertheless it ran
+in 1998 administrators of 2300 organisations met
+about 120 particularly interesting 35 arrangements
 it was 1987 when they met
 in 2021 the price rose by 12 percent
 the 3 of them had 45 apples

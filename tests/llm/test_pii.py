@@ -92,3 +92,16 @@ def test_empty_tables_and_clashing_columns(spark, docs):
     assert mask("abcdef", [(0, 0, 3), (2, 1, 4)]) == "<EMAIL>ef"
     with pytest.raises(ValueError):
         train(labelled_tokens(spark), max_tokens=5)
+
+
+def test_letter_groups_and_secrets_of_letters_only(spark, docs):
+    clean = ["the key to the house", "keep the secret of the old town", "he sent the token and left", "from 1990 UNTIL 2004 the", ""]
+    hits = [
+        ("iban BG80 BNBG 9661 1020 3456 78 ok", "iban <IBAN> ok"),
+        ("account GB29 NWBK 6016 1331 9268 19 sort", "account <IBAN> sort"),
+        ('x password = "correcthorse" y', 'x password = "<SECRET>" y'),
+        ("token = 'mnbvcxzlkj'", "token = '<SECRET>'"),
+    ]
+    rows = [(i, t) for i, t in enumerate(clean)] + [(100 + i, t) for i, (t, _) in enumerate(hits)] + [(200, "forgot the password"), (201, '"correcthorse" is')]
+    out = {r.doc_id: r.masked for r in personal_data(docs(rows), train(labelled_tokens(spark))).collect()}
+    assert out == dict(enumerate(clean)) | {100 + i: m for i, (_, m) in enumerate(hits)} | {200: rows[-2][1], 201: rows[-1][1]}
