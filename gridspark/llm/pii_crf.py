@@ -283,7 +283,7 @@ def field_spans(column: pa.Array, field: Field) -> dict[int, list[tuple[int, int
 
     def emission(i: int) -> np.ndarray:
         at, text = int(places[i]), int(texts[i])
-        key = (word(at, text)[:200], word(at - 1, text)[:40], word(at - 2, text)[:40])
+        key = (word(at, text), word(at - 1, text), word(at - 2, text))
         if key not in scores:
             scores[key] = field.emissions[token_features(*key)].sum(axis=0)
         return scores[key]

@@ -105,3 +105,17 @@ def test_letter_groups_and_secrets_of_letters_only(spark, docs):
     rows = [(i, t) for i, t in enumerate(clean)] + [(100 + i, t) for i, (t, _) in enumerate(hits)] + [(200, "forgot the password"), (201, '"correcthorse" is')]
     out = {r.doc_id: r.masked for r in personal_data(docs(rows), train(labelled_tokens(spark))).collect()}
     assert out == dict(enumerate(clean)) | {100 + i: m for i, (_, m) in enumerate(hits)} | {200: rows[-2][1], 201: rows[-1][1]}
+
+
+def test_features_are_those_of_whole_tokens(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from gridspark.llm import pii_crf as P
+
+    seen, features = [], P.token_features
+    monkeypatch.setattr(P, "token_features", lambda *tokens: seen.append(tokens) or features(*tokens))
+    before, long = "b" * 60 + ":", '"' + "aB" * 150 + '7x"'
+    zeros = np.zeros(2)
+    P.field_spans(pa.array([f"{before} = {long}"]), P.Field(("O", "B-secret"), np.zeros((P.BUCKETS, 2)), np.zeros((2, 2)), zeros, zeros))
+    assert (long, "=", before) in seen
