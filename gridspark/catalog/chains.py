@@ -189,6 +189,22 @@ def footprint_remaining(t):
     return attribution.remaining(net.a, net.demand, net.nodes, net.d)
 
 
+@query(
+    "footprint_by_producer",
+    "pgroup:i tsec:i fssec:i k:i slot:i value:6",
+    f"""WITH {NET}, {DIRECT}, {OTHER}, {HANDED},
+    u AS (SELECT i, t AS tsec, t AS fssec, k, 0 AS slot, d * v AS value FROM dr JOIN d USING (i) UNION ALL SELECT i, t, s, k, 1, d * v FROM hd JOIN d USING (i)
+      UNION ALL SELECT i, NULL, s, k, 2, d * v FROM ot JOIN d USING (i))
+    SELECT i // 3 % 5 AS pgroup, tsec, fssec, k, slot, sum(value) AS value FROM u GROUP BY ALL HAVING sum(value) > 0""",
+)
+def footprint_by_producer(t):
+    """Five groups of producers: ten right-hand sides in place of one for each consumer and supplying sector; slot 2 never passes a target."""
+    net = Network(t)
+    producers = net.d.select("i", (F.floor(F.col("i") / 3) % 5).alias("pgroup"), "d")
+    target, rest = attribution.footprints_by_producer(net.a, net.demand, net.nodes, producers, ["pgroup"])
+    return target.unionByName(rest.withColumn("slot", F.lit(2)), allowMissingColumns=True)
+
+
 @query(
     "household_slot",
     "preg:i k:s value:4",

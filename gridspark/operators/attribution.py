@@ -11,12 +11,14 @@ The operators read coefficients, demand, nodes and intensities many times. Pass
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridspark.operators.scale import one_row
+from gridspark.operators.scale import null_safe_join, one_row
 from gridspark.session import cut_lineage
 
 
@@ -74,7 +76,15 @@ def prepare(edges: DataFrame, demand: DataFrame, account: DataFrame) -> tuple[Da
 
 
 class NotConverged(RuntimeError):
-    """A series whose remainder is still above the tolerance after the allowed rounds."""
+    """A series of which a block and right-hand side is not bracketed closely enough after the allowed rounds."""
+
+
+# So many right-hand sides share a row of a series.
+LANES = 8
+# Growth below this share of a value is rounding; its ratio says nothing.
+ROUNDING = 1e-14
+# Rounds after which a series without named blocks looks for the blocks of its network.
+BLOCKS_AFTER = 24
 
 
 def series(
@@ -84,41 +94,141 @@ def series(
     tolerance: float = 1e-12,
     max_rounds: int = 400,
     checkpoint_every: int = 4,
+    block: Column | None = None,
+    lanes: int = LANES,
 ) -> DataFrame:
-    """``(I + A + A^2 + ...) b`` for every right-hand side: ``i, *rhs, v``.
-
-    Nested evaluation, ``s = b + A s``: each round is one join with the coefficients and one
-    aggregation, and nothing but ``s`` is carried along. ``start`` has ``i, *rhs, v``, not negative.
-    ``s`` is materialised every few rounds, which keeps the plan short and survives lost executors; the
-    coefficients are laid out by their column once, so a round shuffles only ``s``. The rounds end once
-    what is still to come, estimated from the ratio of the last two increments, is below ``tolerance`` of the
-    sum. A series that has not come so far after ``max_rounds`` is an error, never a shortened result.
+    """``(I + A + A^2 + ...) b`` for every right-hand side: ``i, *rhs, v``, where v is not 0.
+
+    ``start`` has ``i, *rhs, v``. Right-hand sides are numbered, and ``lanes`` of them are the columns of one row, so a round is one join of
+    the coefficients (laid out by their column once) with the rows of their node, one row per coefficient and ``lanes`` right-hand
+    sides, and one aggregation, ``s = b + A s``. Negative starts run in lanes of their own and are subtracted at the end.
+
+    Every ``checkpoint_every`` rounds the rows are materialised, and each block of the network and right-hand side is judged on its own. Growth over
+    as many rounds follows ``g' = A^m g``. With lo and hi the smallest and the largest ratio ``g' / g`` of its nodes, what is still to come lies, at
+    every node, between ``g' lo / (1 - lo)`` and ``g' hi / (1 - hi)``. The middle is added once half of that span is below ``tolerance`` of the
+    value at every node; slow series close this bracket long before they have come near their sum. Finished blocks and lanes leave the
+    rounds. ``block`` is an expression of ``i`` for networks of several parts that do not touch (years); without one the parts are looked up where the
+    series is slow. What has not come so far after ``max_rounds`` is an error that names it, never a shortened result.
     """
     rhs = list(rhs)
-    b = cut_lineage(start.groupBy("i", *rhs).agg(F.sum("v").alias("v")))
+    b = start.withColumn("_minus", F.col("v") < 0).groupBy("i", *rhs, "_minus").agg(F.sum(F.abs("v")).alias("v")).where("v > 0")
+    b = cut_lineage(b)
+    keys = [*rhs, "_minus"]
+    numbers, n, signed = _numbered(b, keys)
+    width = max(1, min(lanes, n))
+    numbers = numbers.select(*keys, (F.col("_n") % width).alias("_lane"), F.floor(F.col("_n") / width).alias("_c"))
+    named = null_safe_join(b, numbers, keys, "inner")
+    picked = [F.expr(f"sum(CASE WHEN _lane = {k} THEN v ELSE 0D END) AS v{k}") for k in range(width)]
+    lanes_of_b = cut_lineage(named.groupBy("i", "_c").agg(*picked))
+    done = _rounds(coefficients, lanes_of_b, numbers, width, tolerance, max_rounds, checkpoint_every, block)
+    long = done.select("i", "_c", F.posexplode(F.array(*[f"v{k}" for k in range(width)])).alias("_lane", "v")).where("v > 0")
+    out = long.join(numbers, ["_c", "_lane"])
+    if not signed:
+        return out.select("i", *rhs, "v")
+    return out.groupBy("i", *rhs).agg(F.sum(F.when(F.col("_minus"), -F.col("v")).otherwise(F.col("v"))).alias("v"))
+
+
+def _numbered(b: DataFrame, keys: list[str]) -> tuple[DataFrame, int, bool]:
+    """Right-hand sides with numbers from 0, how many there are, and whether one is negative."""
+    distinct = b.select(*keys).distinct()
+    numbers = cut_lineage(distinct.withColumn("_n", F.row_number().over(Window.orderBy(*keys)) - 1))
+    n, signed = numbers.agg(F.count(F.lit(1)), F.max("_minus")).first()
+    return numbers, n, bool(signed)
+
+
+def _rounds(coefficients, b, numbers, width, tolerance, max_rounds, every, block) -> DataFrame:
+    """All lanes of ``b``, summed up until their brackets are closed.
+
+    Rows hold sums v, the growth g of the last rounds and the growth h of the rounds before. Growth is carried by itself, not as a difference.
+    """
+    def each(pattern: str) -> list[str]:
+        return [pattern.format(k=k) for k in range(width)]
+
     parts = int(coefficients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = coefficients.select(F.col("i").alias("_to"), F.col("j").alias("i"), "a").repartition(parts, "i").persist(StorageLevel.MEMORY_AND_DISK)
-    s, before, grown, left = b, b.agg(F.sum("v")).first()[0] or 0.0, None, float("inf")
+    a = coefficients.selectExpr("i AS _to", "j AS i", "a").repartition(parts, "i").persist(StorageLevel.MEMORY_AND_DISK)
+    moved = ["_to AS i", "_c", *each("a * g{k} AS g{k}")]
+    added = [F.expr(x) for x in each("sum(g{k}) AS g{k}")]
+    kept = [F.expr(x) for x in each("coalesce(sum(g{k}), 0D) AS g{k}") + each("coalesce(sum(v{k}), 0D) + coalesce(sum(g{k}), 0D) AS v{k}") + each("coalesce(sum(h{k}), 0D) AS h{k}")]
+    labels, finished = None, []
+    rows = b.selectExpr("i", "_c", *each("v{k} AS g{k}"))
+    memory = b.selectExpr("i", "_c", *each("v{k}"), *each("0D AS h{k}"))
     try:
-        for n in range(1, max_rounds + 1):
-            stepped = s.join(a, "i").select(F.col("_to").alias("i"), *rhs, (F.col("a") * F.col("v")).alias("v"))
-            s = stepped.unionByName(b).groupBy("i", *rhs).agg(F.sum("v").alias("v"))
-            if n % checkpoint_every and n < max_rounds:
-                continue
-            s = cut_lineage(s)
-            total = s.agg(F.sum("v")).first()[0] or 0.0
-            growth, before = total - before, total
-            # Increments this small are rounding, and their ratio says nothing.
-            if growth <= 1e-15 * total:
-                return s
-            ratio = growth / grown if grown else 1.0
-            left = growth * ratio / (1.0 - ratio) if ratio < 1.0 else float("inf")
-            if left <= tolerance * total:
-                return s
-            grown = growth
+        for first in range(0, max_rounds, every):
+            began = rows
+            for n in range(every):
+                rows = rows.join(a, "i").selectExpr(*moved)
+                if n < every - 1:
+                    # The first growth is A b + ... + A^m b, each later one A^m times the one before.
+                    rows = (rows if first else rows.unionByName(began)).groupBy("i", "_c").agg(*added)
+            state = cut_lineage(rows.unionByName(memory, allowMissingColumns=True).groupBy("i", "_c").agg(*kept))
+            if block is None and labels is None and first + every >= BLOCKS_AFTER:
+                labels = network_blocks(coefficients)
+            placed = _placed(state, block, labels)
+            judged = cut_lineage(_judged(placed, width, tolerance))
+            n_open, n_done = (x or 0 for x in judged.agg(F.sum((~F.col("_done")).cast("int")), F.sum(F.col("_done").cast("int"))).first())
+            if n_done:
+                ready = placed.join(judged.where("_done"), ["_block", "_c"])
+                finished.append(ready.selectExpr("i", "_c", *each("v{k} + g{k} * m{k} AS v{k}")))
+            if not n_open:
+                return reduce(DataFrame.unionByName, finished) if finished else b
+            if n_done:
+                still = judged.where("not _done").select("_block", "_c")
+                state = placed.join(still, ["_block", "_c"], "left_semi").drop("_block")
+            rows = state.select("i", "_c", *each("g{k}"))
+            memory = state.selectExpr("i", "_c", *each("v{k}"), *each("g{k} AS h{k}"))
     finally:
         a.unpersist()
-    raise NotConverged(f"after {max_rounds} rounds about {left:.3g} of {before:.6g} is still to come")
+    worst = judged.where("not _done").orderBy("_block", "_c").first()
+    lane = next(k for k in range(width) if not worst[f"d{k}"])
+    name = numbers.where((F.col("_c") == worst["_c"]) & (F.col("_lane") == lane)).drop("_c", "_lane", "_minus").first()
+    raise NotConverged(
+        f"after {max_rounds} rounds {n_open} blocks of right-hand sides are open, among them block {worst['_block']}, "
+        f"right-hand side {name.asDict() if name else {}}: {worst[f't{lane}']:.3g} of a value added in the last {every} rounds"
+    )
+
+
+def _placed(rows: DataFrame, block: Column | None, labels: DataFrame | None) -> DataFrame:
+    """Rows with the block of their node; nodes without coefficients are blocks of their own."""
+    if block is not None:
+        return rows.withColumn("_block", block.cast("long"))
+    if labels is None:
+        return rows.withColumn("_block", F.lit(0).cast("long"))
+    return rows.join(labels, "i", "left").withColumn("_block", F.coalesce("_block", F.col("i").cast("long")))
+
+
+def _judged(placed: DataFrame, width: int, tolerance: float) -> DataFrame:
+    """Per block and row of lanes: whether all lanes are done (d: each lane), what to add per growth (m), the last growth (t).
+
+    The last digits of a ratio near 1 are rounding, so no span is asked to be below ``ROUNDING / (1 - hi)``.
+    """
+    picks, marks = [], []
+    for k in range(width):
+        live, ratio = f"g{k} > {ROUNDING} * v{k}", f"CASE WHEN h{k} > 0 THEN g{k} / h{k} ELSE double('inf') END"
+        picks += [f"max(CASE WHEN {live} THEN {ratio} END) AS hi{k}", f"min(CASE WHEN {live} THEN {ratio} END) AS lo{k}", f"max(CASE WHEN {live} THEN g{k} / v{k} END) AS t{k}"]
+        upper, lower = f"hi{k} / (1 - hi{k})", f"lo{k} / (1 - lo{k})"
+        closed = f"hi{k} < 1 AND t{k} * ({upper} - {lower}) / 2 <= greatest({tolerance!r}D, {ROUNDING} / (1 - hi{k}))"
+        marks += [f"hi{k} IS NULL OR ({closed}) AS d{k}", f"CASE WHEN hi{k} < 1 THEN ({upper} + {lower}) / 2 ELSE 0D END AS m{k}", f"t{k}"]
+    out = placed.groupBy("_block", "_c").agg(*map(F.expr, picks)).selectExpr("_block", "_c", *marks)
+    return out.selectExpr("*", " AND ".join(f"d{k}" for k in range(width)) + " AS _done")
+
+
+def network_blocks(coefficients: DataFrame) -> DataFrame:
+    """``i, _block``: the smallest node of the part of the network that a node lies in.
+
+    Nodes take the smallest label of their neighbours and then the label of their label, so the number of rounds grows with the logarithm of
+    the longest way; the labels are materialised each round.
+    """
+    ways = coefficients.select("i", "j").union(coefficients.select("j", "i"))
+    ways = cut_lineage(ways.where("i <> j").distinct())
+    labels = cut_lineage(coefficients.select("i").union(coefficients.select("j")).distinct().withColumn("_block", F.col("i").cast("long")))
+    while True:
+        near = ways.join(labels.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("_block").alias("_near"))
+        stepped = labels.join(near, "i", "left").select("i", "_block", F.least("_block", F.coalesce("_near", "_block")).alias("_new"))
+        over = stepped.select(F.col("i").alias("_new"), F.col("_new").alias("_over"))
+        moved = cut_lineage(stepped.join(over, "_new").select("i", F.col("_over").alias("_new"), (F.col("_over") < F.col("_block")).alias("_moved")))
+        labels = moved.select("i", F.col("_new").alias("_block"))
+        if not moved.where("_moved").limit(1).count():
+            return labels
 
 
 def outside(coefficients: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -144,20 +254,25 @@ def others_supply(coefficients, demand, nodes, **kw) -> DataFrame:
     return series(cut_lineage(outside(coefficients, nodes)), start, ["fssec", "k"], **kw)
 
 
-def indirect_slot(coefficients, demand, nodes, intensity, supply: DataFrame | None = None, **kw) -> DataFrame:
-    """Footprint of target products that reach final demand inside other products.
-
-    Demand for other products runs through the network of other nodes (``supply``, from ``others_supply``), is handed to
-    target nodes as input, and from there through the whole network. The supplying sector stays in the key.
-    """
+def handed_demand(coefficients, demand, nodes, supply: DataFrame | None = None, **kw) -> DataFrame:
+    """Input that target nodes hand to what other nodes supply (``others_supply``): ``i, tsec, fssec, k, v``."""
     supply = others_supply(coefficients, demand, nodes, **kw) if supply is None else supply
     targets = nodes.where("is_target").select(F.col("i").alias("t"), F.col("sector").alias("tsec"))
     into = coefficients.select(F.col("i").alias("t"), F.col("j").alias("i"), "a").join(targets, "t")
-    handed = (
+    return (
         supply.join(into, "i")
         .groupBy(F.col("t").alias("i"), "tsec", "fssec", "k")
         .agg(F.sum(F.col("a") * F.col("v")).alias("v"))
     )
+
+
+def indirect_slot(coefficients, demand, nodes, intensity, supply: DataFrame | None = None, **kw) -> DataFrame:
+    """Footprint of target products that reach final demand inside other products.
+
+    Demand for other products runs through the network of other nodes, is handed to target nodes as input, and from
+    there through the whole network. The supplying sector stays in the key.
+    """
+    handed = handed_demand(coefficients, demand, nodes, supply, **kw)
     applied = series(coefficients, handed, ["tsec", "fssec", "k"], **kw)
     return _footprint(applied, nodes, intensity, ["tsec", "fssec", "k"])
 
@@ -189,11 +304,44 @@ def household(direct: DataFrame, groups: dict[str, Sequence[int] | str] | str =
 
 
 def footprints(coefficients, demand, nodes, intensity, supply: DataFrame | None = None, **kw) -> DataFrame:
-    """Direct (slot 0) and indirect (slot 1) footprints in one table; ``supply`` saves a series that ``remaining`` needs as well."""
+    """Direct (slot 0) and indirect (slot 1) footprints in one table, from one series.
+
+    The slots are told apart by their supplying sector, which is the target itself or none. ``supply`` saves a series that
+    ``remaining`` needs as well.
+    """
+    targets = nodes.where("is_target").select("i", F.col("sector").alias("tsec"))
+    own = demand.join(targets, "i").select("i", "tsec", F.col("tsec").alias("fssec"), "k", F.col("value").alias("v"))
+    start = own.unionByName(handed_demand(coefficients, demand, nodes, supply, **kw))
+    applied = series(coefficients, start, ["tsec", "fssec", "k"], **kw)
+    both = _footprint(applied, nodes, intensity, ["tsec", "fssec", "k"])
     columns = [*_extras(nodes, intensity), "preg", "psec", "tsec", "fssec", "k", "slot", "value"]
-    direct = direct_slot(coefficients, demand, nodes, intensity, **kw).withColumn("slot", F.lit(0))
-    indirect = indirect_slot(coefficients, demand, nodes, intensity, supply, **kw).withColumn("slot", F.lit(1))
-    return direct.select(columns).unionByName(indirect.select(columns))
+    return both.withColumn("slot", F.when(F.col("tsec") == F.col("fssec"), 0).otherwise(1)).select(columns)
+
+
+def footprints_by_producer(coefficients, demand, nodes, producers, by: Sequence[str], **kw) -> tuple[DataFrame, DataFrame]:
+    """Target footprints ``*by, tsec, fssec, k, slot, value`` and remaining ones ``*by, fssec, k, value`` of groups of producers.
+
+    ``producers``: i, *by, d. The series run from the producers' side, on the transposed network: what a unit delivered by a node carries of each
+    group. Demand is met in the last aggregation only, so the right-hand sides are the groups (times the target sectors for the
+    indirect slot), however many consumers and supplying sectors there are. Demand is not negative.
+    """
+    by = list(by)
+    place = nodes.select("i", "sector", "is_target")
+    turned = coefficients.select(F.col("j").alias("i"), F.col("i").alias("j"), "a")
+    carried = cut_lineage(series(turned, producers.select("i", *by, F.col("d").alias("v")), by, **kw))
+    at_targets = carried.join(place.where("is_target"), "i").select("i", *by, F.col("sector").alias("tsec"), "v")
+    worth = F.sum(F.col("v") * F.col("value")).alias("value")
+    direct = at_targets.join(demand, "i").groupBy(*by, "tsec", F.col("tsec").alias("fssec"), "k").agg(worth).withColumn("slot", F.lit(0))
+    others = place.where(~F.col("is_target"))
+    into = coefficients.join(others.select(F.col("i").alias("j")), "j", "left_semi")
+    handed = at_targets.join(into, "i").groupBy(F.col("j").alias("i"), *by, "tsec").agg(F.sum(F.col("v") * F.col("a")).alias("v"))
+    # Producers that are no targets, for the part that never passes a target, run in the same rounds.
+    own = producers.join(others.select("i"), "i", "left_semi").select("i", *by, F.lit(None).cast(nodes.schema["sector"].dataType).alias("tsec"), F.col("d").alias("v"))
+    inner = cut_lineage(outside(coefficients, nodes)).select(F.col("j").alias("i"), F.col("i").alias("j"), "a")
+    through = cut_lineage(series(inner, handed.unionByName(own), [*by, "tsec"], **kw))
+    met = through.join(others, "i").join(demand, "i").groupBy(*by, "tsec", F.col("sector").alias("fssec"), "k").agg(worth)
+    target = direct.unionByName(met.where("tsec is not null").withColumn("slot", F.lit(1)))
+    return target.where("value > 0"), met.where("tsec is null and value > 0").drop("tsec")
 
 
 def balance(

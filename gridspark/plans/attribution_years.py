@@ -60,6 +60,8 @@ def attribute_years(
         ).withColumn("is_target", F.col("sector").isin(*targets))
     )
     final = cut_lineage(final)
+    # Years never touch, so each is judged on its own.
+    series = {"block": F.floor(F.col("i") / block)} | series
     supply = attribution.others_supply(a, final, nodes, **series)
     target = cut_lineage(attribution.footprints(a, final, nodes, d, supply, **series))
     rest = cut_lineage(attribution.remaining(a, final, nodes, d, supply))
