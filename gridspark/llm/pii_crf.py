@@ -3,8 +3,8 @@
 The base kinds (email, ip, card, phone) follow fixed patterns. The field adds tel (numbers without a country sign), secret, ssn and iban
 where they do not overlap a base span. It labels tokens between white space: those with a digit and their neighbours (letter groups
 of account numbers), cue words such as "password" and the ``REACH`` tokens after them (secrets of letters only). All other tokens are
-outside by definition, so a text falls into short chains of neighbouring tokens. Features are the token's shape, its length, its
-letters and the words before it. ``train`` maximises the likelihood on a small labelled table (at most ``MAX_TOKENS`` rows,
+outside by definition, so a text falls into short chains of neighbouring tokens. Features are the token's shape (of which 24 characters are a
+feature; length, digits and changes are those of the whole token), its letters and the words before it. ``train`` maximises the likelihood on a small labelled table (at most ``MAX_TOKENS`` rows,
 which the driver reads); decoding is Viterbi over numpy batches of chains of equal length.
 
 How it scales: one pass over the documents without a shuffle; parameters are a small broadcast.
@@ -16,8 +16,10 @@ by one, an empty table gives no rows. An empty labelled table gives base spans o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,6 @@ GAP = np.zeros(256, dtype=bool)
 GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-EMAIL_HEAD = re.compile(r"[^A-Za-z0-9._%+-]")
 # A start inside a run of digits could only match where the start of the run does, so it is not tried.
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -80,7 +81,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base kinds, by start, then kind."""
     out = [(a, 0, b) for a, b in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        # Zeros in front count for nothing, however many there are; digits are stripped before they become a number.
+        parts = [p.lstrip("0") or "0" for p in m.group().split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -311,6 +314,16 @@ def field_spans(column: pa.Array, field: Field) -> dict[int, list[tuple[int, int
     return found
 
 
+def apart(new: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans of ``new`` that overlap no span of ``base``; ``base`` is sorted by start, spans of one kind do not overlap."""
+    if not base:
+        return new
+    starts = [a for a, _, _ in base]
+    # The furthest end of all base spans up to each one.
+    reach = list(accumulate((b for _, _, b in base), max))
+    return [s for s in new if not (k := bisect_left(starts, s[2])) or reach[k - 1] <= s[0]]
+
+
 RESULT = T.StructType(
     [
         *(T.StructField(f"n_{kind}", T.LongType()) for kind in BASE),
@@ -348,8 +361,7 @@ def personal_data(docs: DataFrame, field: Field | None, text: str = "text") -> D
             rows = []
             for i, value in enumerate(column.to_pylist()):
                 base = base_spans(value) if value else []
-                new = [s for s in more.get(i, []) if not any(s[0] < b and a < s[2] for a, _, b in base)]
-                spans = sorted(base + new)
+                spans = sorted(base + apart(more.get(i, []), base))
                 counts = [sum(s[1] == k for s in base) for k in range(len(BASE))]
                 rows.append((*counts, _join(base), _join(spans), mask(value, spans) if spans else value))
             extra = [pa.array([r[k] for r in rows], pa.int64() if k < len(BASE) else pa.string()) for k in range(len(RESULT.names))]

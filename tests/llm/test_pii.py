@@ -1,8 +1,9 @@
+import random
 import re
 
 import pytest
 
-from gridspark.llm.pii_crf import base_spans, mask, personal_data, train, viterbi
+from gridspark.llm.pii_crf import apart, base_spans, mask, personal_data, train, viterbi
 from gridspark.llm.pii_seed import labelled_tokens
 
 from .conftest import prose
@@ -24,7 +25,7 @@ def brute(text):
     for kind, pattern in enumerate(PATTERNS):
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m.group())
-            fine = [True, kind != 1 or all(int(p) <= 255 for p in m.group().split(".")), 12 <= len(digits) <= 19 and luhn(digits), 9 <= len(digits) <= 15]
+            fine = [True, kind != 1 or all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")), 12 <= len(digits) <= 19 and luhn(digits), 9 <= len(digits) <= 15]
             if fine[kind]:
                 out.append((m.start(), kind, m.end()))
     return sorted(out)
@@ -119,3 +120,22 @@ def test_features_are_those_of_whole_tokens(monkeypatch):
     zeros = np.zeros(2)
     P.field_spans(pa.array([f"{before} = {long}"]), P.Field(("O", "B-secret"), np.zeros((P.BUCKETS, 2)), np.zeros((2, 2)), zeros, zeros))
     assert (long, "=", before) in seen
+
+
+def test_very_long_numbers(spark, docs):
+    field = train(labelled_tokens(spark))
+    texts = ["0" * 5000 + ".1.2.3", "9" * 5000 + ".1.2.3", "1.2.3." + "0" * 5000 + "7", "see " + "0" * 4301 + "." + "0" * 9000 + ".255.0 end", "+" + "1" * 6000, "4" * 7000]
+    out = personal_data(docs(list(enumerate(texts))), field).orderBy("doc_id").collect()
+    assert [r.n_ip for r in out] == [1, 0, 1, 1, 0, 0]
+    for row, text in zip(out, texts, strict=True):
+        assert row.base_spans == ",".join(f"{'email ip card phone'.split()[k]}:{a}:{b}" for a, k, b in brute(text))
+
+
+def test_overlaps_match_all_pairs():
+    rng = random.Random(2)
+    for _ in range(300):
+        spans = lambda n: sorted((a, rng.randrange(4), a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(n)))
+        base, new = spans(rng.randrange(6)), spans(rng.randrange(8))
+        assert apart(new, base) == [s for s in new if not any(s[0] < b and a < s[2] for a, _, b in base)]
+    many = [(10 * i, 0, 10 * i + 5) for i in range(200_000)]
+    assert len(apart([(a + 5, 4, a + 9) for a, _, _ in many], many)) == 200_000
