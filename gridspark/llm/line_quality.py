@@ -8,9 +8,12 @@ How it scales: repeats inside a text are found inside its row. Lines are hashed
 partial aggregation (the hashes are written once and read twice), so that a line which stands in a third of all documents arrives as one row per task; only
 lines above the limit are joined back, and only per-document sums (and the few removed lines) reach the documents.
 
-Defined results: a null text has no words, fails the base rule and stays null. A null host is a host of its own. Exact copies
-of one text count once for a line, and the document with the smallest id keeps its line, so that one copy of everything
-stays. Rows that repeat a doc_id and a text get the same verdict each. An empty table gives an empty result. Input columns may
+A line is frequent in a host if more than ``max_docs`` different documents of the host hold it and these are more than ``max_percent``
+of the host's documents: an absolute floor for small hosts, a share for large ones.
+
+Defined results: a null text has no words, fails the base rule and stays null. A null host is a host of its own. The document with the
+smallest id keeps a frequent line, so that of many copies of a text in one host the first one stays whole. Rows of one doc_id are one document, a
+null doc_id is one as well. Rows that repeat a doc_id and a text get the same verdict each. An empty table gives an empty result. Input columns may
 have any name but those of the result; work columns start with ``_q_``.
 """
 
@@ -27,6 +30,7 @@ WINDOW = 3
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_DOCS_PER_LINE = 5
+MAX_PERCENT_PER_LINE = 1
 MIN_LEFT_PERCENT = 30
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -101,16 +105,23 @@ def _document_lines(docs: DataFrame, text: str, host: str, doc_id: str) -> DataF
     )
 
 
-def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS_PER_LINE) -> DataFrame:
-    """(host, line, smallest document) of the lines in more than ``max_docs`` different texts of a host."""
+def frequent_lines(lines: DataFrame, hosts: DataFrame, max_docs: int = MAX_DOCS_PER_LINE, max_percent: float = MAX_PERCENT_PER_LINE) -> DataFrame:
+    """(host, line, smallest document) of the lines in more than ``max_docs`` documents and ``max_percent`` of a host's documents."""
     return (
         lines.groupBy("_q_host", "line")
-        .agg(F.count_distinct("_q_text").alias("n_docs"), F.min("_q_doc").alias("first_doc"))
+        .agg(F.count_distinct(F.struct("_q_doc")).alias("n_docs"), F.min("_q_doc").alias("first_doc"))
         .filter(F.col("n_docs") > max_docs)
-        .drop("n_docs")
+        .join(hosts, "_q_host")
+        .filter(100 * F.col("n_docs") > max_percent * F.col("host_docs"))
+        .select("_q_host", "line", "first_doc")
     )
 
 
+def host_sizes(docs: DataFrame, host: str, doc_id: str) -> DataFrame:
+    """The number of different documents of each host."""
+    return docs.groupBy(F.xxhash64(host).alias("_q_host")).agg(F.count_distinct(F.struct(doc_id)).alias("host_docs"))
+
+
 def removed_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
     """Per document and text: the hashes of its lines to remove and the number of words in them."""
     return (
@@ -127,6 +138,7 @@ def quality_rules(
     host: str = "source",
     doc_id: str = "doc_id",
     max_docs: int = MAX_DOCS_PER_LINE,
+    max_percent: float = MAX_PERCENT_PER_LINE,
     min_left_percent: int = MIN_LEFT_PERCENT,
 ) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``n_words_left``, ``kept`` and ``clean_text``.
@@ -134,7 +146,7 @@ def quality_rules(
     A document is depleted, and not kept, if fewer than ``min_left_percent`` of its words are left without the frequent lines.
     """
     lines = cut_lineage(_document_lines(docs, text, host, doc_id))
-    gone = removed_lines(lines, frequent_lines(lines, max_docs))
+    gone = removed_lines(lines, frequent_lines(lines, host_sizes(docs, host, doc_id), max_docs, max_percent))
     counted = rule_counts(docs, text).withColumns({"_q_id": F.col(doc_id), "_q_hash": F.xxhash64(text)})
     both = counted.join(gone, F.col("_q_id").eqNullSafe(F.col("_q_doc")) & (F.col("_q_hash") == F.col("_q_text")), "left")
     left = F.col("n_words") - F.coalesce("_q_gone", F.lit(0))

@@ -1,7 +1,7 @@
 """Query of the quality rules."""
 
 from gridspark.llm.base import query, table
-from gridspark.llm.line_quality import MAX_DOCS_PER_LINE, MIN_LEFT_PERCENT, quality_rules
+from gridspark.llm.line_quality import MAX_DOCS_PER_LINE, MAX_PERCENT_PER_LINE, MIN_LEFT_PERCENT, quality_rules
 
 # Words are code point runs without white space; windows repeat if their three words are equal.
 SQL = f"""
@@ -22,7 +22,9 @@ dl AS (SELECT s.doc_id, s.source, s.text, x,
               len(list_filter(regexp_split_to_array(x, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS n
        FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x FROM src) s
        WHERE regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')),
-freq AS (SELECT source, line, min(doc_id) AS first_doc FROM dl GROUP BY source, line HAVING count(DISTINCT text) > {MAX_DOCS_PER_LINE}),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS host_docs FROM documents GROUP BY source),
+freq AS (SELECT l.source, line, first_doc FROM (SELECT source, line, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS n_docs FROM dl GROUP BY source, line) l
+         JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE n_docs > {MAX_DOCS_PER_LINE} AND 100 * n_docs > {MAX_PERCENT_PER_LINE} * host_docs),
 gone AS (SELECT dl.doc_id, sum(n) AS n FROM dl JOIN freq f ON dl.source IS NOT DISTINCT FROM f.source AND dl.line = f.line
          WHERE dl.doc_id <> f.first_doc GROUP BY dl.doc_id)
 SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
