@@ -1,6 +1,9 @@
 """The corpus pipeline: every stage reads what its predecessor kept, as Parquet, and calls one operator of ``gridspark.llm``.
 
 quality rules -> near duplicates -> benchmark decontamination -> personal data -> packing
+
+Null ids and texts, empty and very long texts, repeated rows and further columns are those of the operators; each stage carries the columns of
+the documents along. A null text fails the quality rules.
 """
 
 from __future__ import annotations
@@ -9,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm.decontaminate import contamination
-from gridspark.llm.jaccard_join import near_duplicates
 from gridspark.llm.line_quality import quality_rules
-from gridspark.llm.packing import pack_apart
+from gridspark.llm.packing import near_copies, pack_apart
 from gridspark.llm.pii_crf import personal_data, train
 from gridspark.llm.pii_seed import labelled_tokens
 from gridspark.llm.token_blocks import shared_path
 
 
+# A column name that documents do not have.
+KEY = "_p_key"
+
+
 def _with_text(docs: DataFrame, names: list[str], text: str) -> DataFrame:
     """The columns of the documents with another text; n_chars follows it."""
     columns = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
@@ -29,9 +35,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates; rows that repeat a doc_id count once."""
-    first = near_duplicates(docs).filter("doc_id = class_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of every group of near duplicates: the one with the smallest id, rows without an id last.
+
+    Documents are told apart by a hash of id and text, so rows with a null id are compared and kept like others, and so is every text of
+    an id that stands there with several. Rows that repeat id and text count once. A null or empty text, or one without words, is a
+    group of its own for each id.
+    """
+    names = docs.columns
+    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    classes = near_copies(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", KEY)
+    first = keyed.select("doc_id", KEY).join(classes, KEY).groupBy("_p_class").agg(F.min_by(KEY, order).alias(KEY)).select(KEY)
+    return keyed.join(first, KEY, "left_semi").dropDuplicates(["doc_id", KEY]).select(*names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

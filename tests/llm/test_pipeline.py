@@ -44,3 +44,13 @@ def test_run_and_empty_documents(spark, folder, docs, tmp_path):
 def test_names_and_order():
     assert [n for n, _ in P.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "PII", "best-fit packing"]
     assert P.ORACLE_SQL is None
+
+
+def test_deduplication_loses_no_text(docs, spark):
+    longer = f"{prose(1, 100)} and more"
+    rows = [(None, prose(11, 60)), (None, prose(12, 60)), (5, longer), (5, prose(13, 60)), (6, longer), (7, prose(14, 60))]
+    rows += [(8, None), (None, None), (9, ""), (10, "..."), (None, prose(1, 100)), (20, prose(20, 300)), (19, prose(20, 300)), (19, prose(20, 300)), (None, prose(15, 60)), (30, prose(15, 60))]
+    out = P.deduplicate(spark, docs(rows), "").collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out)
+    want = [(None, prose(11, 60)), (None, prose(12, 60)), (5, longer), (5, prose(13, 60)), (7, prose(14, 60)), (8, ""), (None, ""), (9, ""), (10, "..."), (19, prose(20, 300)), (30, prose(15, 60))]
+    assert got == sorted((i is None, i or 0, t) for i, t in want)
