@@ -13,5 +13,5 @@ END_ID = 2
 def op7_token_blocks(spark, sf_dir):
     """Places, sizes and checksums of all documents, from the files written for them."""
     path = shared_path(spark, "token-blocks")
-    write_blocks(encode_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID), path)
+    write_blocks(encode_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID, by_chunk=True), path)
     return read_documents(spark, path).drop("ids")

@@ -145,12 +145,14 @@ class Encoder(dict):
     """Ids of whole texts from a tokenizer file, little-endian 32 bits each.
 
     For tokenizers that drop white space and never look across it (``by_chunk``), a text is the sequence of its chunks between
-    spaces and line feeds, and the ids of the first ``cache_words`` different chunks are kept in this mapping. Where byte-level
-    probes show that a word of letters in lower case needs neither a normaliser nor a splitter (``plain``), such words go straight to
-    the tokenizer's model, and a full stop or comma after letters is a chunk of its own. Otherwise whole texts are encoded.
+    spaces and line feeds, and the ids of the first ``cache_words`` different chunks are kept in this mapping. Each shortcut is only taken where probes
+    show it to be right: chunks apart from each other (``by_chunk``), words of lower-case letters straight to the tokenizer's model (``plain``), words
+    with capitals as those without (``lowers``), a full stop or comma after letters as a chunk of its own (``splits``). Otherwise whole texts are encoded.
     """
 
     PROBES = ("a", "the", "of", "tokenizer", "zyxwvut", "ll", "re", "s", "qqqq", "été", "größe", "señor", "ωμέγα", "字", "ж")
+    CASED = ("A", "The", "THE", "Of", "Brown", "tOkEnIzEr", "ZYXWVUT", "LL", "iPhone", "QqQq")
+    MIXED = ("the Brown", "THE x2", "été ÉTÉ", "ΣΑΣ ωμέγα", "12 345", "a1 B2", "don't I'll", "x-y Z", "字 ж")
 
     def __init__(self, path: str, by_chunk: bool, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
@@ -158,8 +160,14 @@ class Encoder(dict):
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.by_chunk, self.cache_words = by_chunk, cache_words
-        self.plain = by_chunk and all(self._of_model(w) == self._of_text(w) for w in self.PROBES)
+        self.cache_words = cache_words
+        of = self._of_text
+        words = [*self.PROBES, *self.CASED]
+        pairs = [*(p.split(" ") for p in self.MIXED), *zip(words, words[1:], strict=False)]
+        self.by_chunk = by_chunk and all(of(f"{x}{gap}{y}") == of(x) + of(y) for x, y in pairs for gap in (" ", "\n", "  "))
+        self.plain = self.by_chunk and all(self._of_model(w) == of(w) for w in self.PROBES)
+        self.lowers = self.plain and all(of(w) == of(w.lower()) for w in self.CASED)
+        self.splits = self.plain and all(of(w + mark) == of(w) + of(mark) for w in words for mark in ".,")
 
     def _of_text(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -173,14 +181,14 @@ class Encoder(dict):
         if not self.plain:
             out = self._of_text(chunk)
         elif chunk.isalpha():
-            low = chunk.lower() if chunk.isascii() else chunk
-            if low != chunk:
-                out = self[low]
-            elif chunk.isascii() or chunk == chunk.lower() and is_normalized("NFC", chunk):
+            small = chunk == chunk.lower()
+            if small and (chunk.isascii() or is_normalized("NFC", chunk)):
                 out = self._of_model(chunk)
+            elif self.lowers and chunk.isascii():
+                out = self[chunk.lower()]
             else:
                 out = self._of_text(chunk)
-        elif len(chunk) > 1 and chunk[-1] in ".," and chunk[:-1].isalpha():
+        elif self.splits and len(chunk) > 1 and chunk[-1] in ".," and chunk[:-1].isalpha():
             out = self[chunk[:-1]] + self[chunk[-1]]
         else:
             out = self._of_text(chunk)
@@ -213,7 +221,7 @@ def _segment_row(part: int, number: int, doc_ids: list, encoded: list[bytes]) ->
 
 
 def encode_blocks(
-    docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", by_chunk: bool = True, partitions: int | None = None
+    docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", by_chunk: bool = False, partitions: int | None = None
 ) -> DataFrame:
     """Segments of the documents in ascending order of ``doc_id``, the end id after each document."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -26,7 +26,7 @@ def test_blocks_round_trip(n, high):
 def test_documents_match_the_library(spark, docs, tmp_path):
     pairs = [(7 * i % 11, t) for i, t in enumerate(TEXTS)] + [(3, "again"), (None, "no id")]
     tokenizer = Tokenizer.from_file(PATH)
-    B.write_blocks(B.encode_blocks(docs(pairs), PATH, 2, partitions=3), str(tmp_path / "blocks"))
+    B.write_blocks(B.encode_blocks(docs(pairs), PATH, 2, by_chunk=True, partitions=3), str(tmp_path / "blocks"))
     got = sorted(B.read_documents(spark, str(tmp_path / "blocks")).collect(), key=lambda r: r.start)
     want = sorted(pairs, key=lambda p: (p[0] is not None, p[0], p[1] is not None, p[1]))
     assert [r.doc_id for r in got] == [i for i, _ in want]
@@ -43,6 +43,21 @@ def test_small_cache_and_whole_texts_agree():
     assert small(texts) == whole(texts) and len(small) <= 3
 
 
+@pytest.mark.parametrize("by_chunk", [True, False])
+def test_cased_tokenizer_keeps_capitals(by_chunk):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    encoder = B.Encoder(path, by_chunk)
+    assert not (encoder.by_chunk or encoder.lowers)
+    texts = ["The THE Brown", "a  b\nC", "ÉTÉ été ΣΑΣ", "end. End, 12", *[t or "" for t in TEXTS]]
+    assert encoder(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_shortcuts_hold_for_the_tokenizer_of_the_query():
+    encoder = B.Encoder(PATH, True)
+    assert encoder.by_chunk and encoder.plain and encoder.lowers and encoder.splits
+
+
 def test_empty_table(spark, docs, tmp_path):
     B.write_blocks(B.encode_blocks(docs([]), PATH, 2), str(tmp_path / "none"))
     assert B.read_documents(spark, str(tmp_path / "none")).collect() == []
