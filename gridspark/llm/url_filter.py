@@ -23,7 +23,7 @@ from gridspark.session import cut_lineage
 
 DIM = 16384
 SIZES = (3, 4, 5)
-THRESHOLD = 0.42
+THRESHOLD = 0.5
 REGULARISATION = 0.0003
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,13 +68,13 @@ def rule_verdict(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
 def _grams(text: Column, field: str, sizes: Sequence[int], dim: int) -> Column:
     """Hashed n-grams of a text between two marks."""
     marked = F.concat(F.lit("^"), text, F.lit("$"))
-    lists = [
-        F.transform(
-            F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - (n - 1))).otherwise(F.array().cast("array<int>")),
-            lambda i, n=n: F.pmod(F.xxhash64(F.lit(field), F.substring(marked, i, F.lit(n))), F.lit(dim)).cast("int"),
-        )
-        for n in sizes
-    ]
+
+    def of_size(n: int) -> Column:
+        starts = F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        # One parameter only: a second one would be the index of the element.
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(field), F.substring(marked, i, F.lit(n))), F.lit(dim)).cast("int"))
+
+    lists = [of_size(n) for n in sizes]
     return F.concat(*lists)
 
 

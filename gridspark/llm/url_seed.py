@@ -111,58 +111,54 @@ https://m.cinema.example/fr/film/23.html
 http://www.architecture.example/es/house/71
 https://birds.example/en/species/404
 http://blog.teaching.example/de/lesson/15
-https://www.northwind.example/en/742/
-http://www.thornton.example/fr/825?page=2&ref=x
-https://therion.example/en/511#top
-http://blog.tionbridge.example/de/49
-https://m.thinking.example/es/883
-http://thanet.example/en/627/
-https://www.shoreline.example/en/99
-http://blog.whitehall.example/fr/357.html
-https://m.thermal.example/en/214
-http://www.heather.example/de/945?utm_source=feed
-https://erin.example/es/625
-http://blog.inglewood.example/en/107
-https://www.city-farm.example/en/16
-http://m.wind-energy.example/de/35
-https://blog.race-track.example/fr/53
-http://free-software.example/en/72
-https://www.free-library.example/es/11
-http://folk-music.example/en/84
-https://blog.train-travel.example/de/26
-http://m.winter-sports.example/fr/68
-https://www.the-other.example/en/57
-http://blog.hither.example/es/39
-https://www.there-and-back.example/en/12
-http://m.another.example/de/48
-https://blog.weatherman.example/fr/31
-http://thread.example/en/75
-https://www.brother.example/es/20
-http://m.rather.example/en/66
-https://thesis.example/de/9
-http://blog.author.example/fr/58
-https://www.stable.example/en/43
-http://station.example/es/82
-https://m.nation.example/de/17
-http://blog.table.example/en/34
-https://www.within.example/fr/95
-http://than.example/en/28
-https://m.thorn.example/es/61
-http://blog.month.example/de/5
-https://www.earth.example/en/86
-http://south.example/fr/13
-https://m.reading.example/en/50
-http://blog.lettering.example/es/7
-https://www.motion.example/de/92
-http://ethics.example/en/24
-https://m.anthem.example/fr/46
-http://blog.thousand.example/en/71
-https://www.whether.example/es/38
-http://northern.example/de/60
-https://m.either.example/en/19
-http://blog.lithium.example/fr/84
-https://www.method.example/en/2
-http://mother-tongue.example/es/53
+https://www.pottery.example/en/1
+http://chess.example/en/38
+https://blog.allotment.example/de/75
+http://m.ferry.example/de/112
+https://www.brewery.example/fr/149
+http://violin.example/fr/186
+https://blog.geology.example/es/223
+http://m.marathon.example/es/260
+https://www.nursery.example/en/297
+http://printing.example/en/334
+https://blog.harbour.example/de/371
+http://m.beekeeping.example/de/408
+https://www.carpentry.example/fr/445
+http://sailing.example/fr/482
+https://blog.botany.example/es/519
+http://m.choir.example/es/556
+https://www.dentist.example/en/593
+http://plumbing.example/en/630
+https://blog.cricket.example/de/667
+http://m.puzzle.example/de/704
+https://www.translation.example/fr/741
+http://opera.example/fr/778
+https://blog.rowing.example/es/815
+http://m.embroidery.example/es/852
+https://www.zoology.example/en/889
+http://bicycle.example/en/26
+https://blog.vineyard.example/de/63
+http://m.lighthouse.example/de/100
+https://www.cheese.example/fr/137
+http://glacier.example/fr/174
+https://blog.recycling.example/es/211
+http://m.kindergarten.example/es/248
+https://www.grammar.example/en/285
+http://volleyball.example/en/322
+https://blog.pharmacy.example/de/359
+http://m.observatory.example/de/396
+https://www.tailor.example/fr/433
+http://folklore.example/fr/470
+https://blog.insulation.example/es/507
+http://m.calligraphy.example/es/544
+https://www.veterinary.example/en/581
+http://firefighters.example/en/618
+https://blog.surveyor.example/de/655
+http://m.aquarium.example/de/692
+https://www.philosophy.example/fr/729
+http://accountant.example/fr/766
+https://blog.upholstery.example/es/803
+http://m.mountain.example/es/840
 """
 
 

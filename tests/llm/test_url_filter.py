@@ -1,6 +1,8 @@
+import math
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gridspark.llm.q_url_filter import RULES
@@ -56,3 +58,20 @@ def test_one_label_only_and_empty_tables(spark, label, verdict):
     assert judge(spark.createDataFrame([("http://q.r/s",)], "url string"), weights, [Rule("z", "/", "allow")]).first().verdict == verdict
     assert judge(spark.createDataFrame([], "url string"), weights, []).collect() == []
     assert train(spark.createDataFrame([], "url string, blocked int")).intercept < 0
+
+
+def test_score_matches_a_plain_dot_product(spark):
+    """Weights of the labelled table on urls of all kinds, with n-grams and hashes written out."""
+    weights = train(labelled_urls(spark))
+    rows = judge(spark.createDataFrame([(u,) for u in [*URLS, "http://Win-Casino.example/é/字/123x45"]], "url string"), weights, []).collect()
+
+    def number(field, gram):
+        h = xxhash.xxh64_intdigest(gram.encode(), xxhash.xxh64_intdigest(field.encode(), 42))
+        return (h - (1 << 64) if h >> 63 else h) % len(weights.values)
+
+    for row in rows:
+        texts = {"host": row.host, "path": re.sub("[0-9]+", "0", row.path)} if row.host else {}
+        found = {number(field, f"^{t}$"[i : i + n]) for field, t in texts.items() for n in (3, 4, 5) for i in range(len(t) + 3 - n)}
+        total = weights.intercept + sum(weights.values[i] for i in found)
+        assert math.isclose(row.score, 1 / (1 + math.exp(-total)), rel_tol=1e-6), row.url
+        assert row.verdict == ("block" if row.score >= 0.5 else "allow")
