@@ -5,16 +5,23 @@ from pyspark.sql import functions as F
 from gridspark.llm.base import query, table
 from gridspark.llm.warc_revisit import resolve_revisits
 
-# Every page is a full response, and is visited once more: a while later, or before it (every 11th), under a spelling of its url that
-# has the same canonical form. Digests of every 5th revisit differ, every 5th has none; every 7th has another entity tag, every 3rd none.
+# Every page is captured up to four times as a full response, 45 seconds apart, and is visited up to three times more: a while later, between
+# two responses, or before all of them (every 11th), under a spelling of its url that has the same canonical form. Every third page has the same url,
+# the front page of one host. Digests of every 5th revisit differ, every 5th has none; every 7th has another entity tag, every 3rd none.
 CAPTURES = """
-SELECT page_id * 2 AS record_id, url, page_id * 60 AS time, 'response' AS kind, md5({bytes}) AS digest, page_id AS p FROM pages
+WITH named AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://front.example/' ELSE url END AS url, {bytes} AS bytes FROM pages),
+copies AS (SELECT *, explode(sequence(0, CAST(page_id % 4 AS INT))) AS k FROM named),
+again AS (SELECT *, explode(sequence(0, CAST(page_id % 3 AS INT))) AS k FROM named)
+SELECT page_id * 16 + k AS record_id, url, page_id * 60 + k * 45 AS time, 'response' AS kind, md5(bytes) AS digest, page_id AS p FROM copies
 UNION ALL
-SELECT page_id * 2 + 1, replace(replace(url, 'https://', 'http://'), '://', '://WWW.') || '#again',
-       CASE WHEN page_id % 11 = 0 THEN page_id * 60 - 30 ELSE page_id * 60 + 90 * (1 + page_id % 50) END, 'revisit',
-       CASE WHEN page_id % 5 = 0 THEN md5('changed') WHEN page_id % 5 = 1 THEN NULL ELSE md5({bytes}) END, page_id
-FROM pages
+SELECT page_id * 16 + 8 + k, replace(replace(url, 'https://', 'http://'), '://', '://WWW.') || '#again',
+       CASE WHEN page_id % 11 = 0 THEN page_id * 60 - 30 - k ELSE page_id * 60 + 20 + k * 50 * (1 + page_id % 50) END, 'revisit',
+       CASE WHEN (page_id + k) % 5 = 0 THEN md5('changed') WHEN (page_id + k) % 5 = 1 THEN NULL ELSE md5(bytes) END, page_id
+FROM again
 """
+DUCK_CAPTURES = CAPTURES.replace("explode(sequence(0, CAST(page_id % 4 AS INT)))", "unnest(range(page_id % 4 + 1))").replace(
+    "explode(sequence(0, CAST(page_id % 3 AS INT)))", "unnest(range(page_id % 3 + 1))"
+)
 NAMES = ["cache-control", "content-type", "date", "etag", "expires", "last-modified", "set-cookie"]
 FIRST = [
     "'max-age=60'",
@@ -44,7 +51,7 @@ _MERGED = ", ".join(
 )
 _SHOWN = " || ".join(f"""coalesce('{n}=' || "{n}" || ';', '')""" for n in NAMES)
 SQL = f"""
-WITH captures AS ({CAPTURES.format(bytes="html")}),
+WITH captures AS ({DUCK_CAPTURES.format(bytes="html")}),
 parts AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM captures),
 named AS (SELECT record_id, time, kind, digest, p,
     regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\\.|:(80|443)$', '', 'g')
@@ -71,7 +78,7 @@ SELECT record_id, key, time, kind, status, source_id, {_SHOWN} AS headers FROM m
 @query("op1_warc_revisit", SQL)
 def op1_warc_revisit(spark, sf_dir):
     """Every capture with the response that stands for it and its headers."""
-    rows = spark.sql(CAPTURES.replace("pages", "{pages}").format(bytes="html", pages="{pages}"), pages=table(spark, sf_dir, "pages"))
+    rows = spark.sql(CAPTURES.replace("FROM pages", "FROM {pages}").format(bytes="html", pages="{pages}"), pages=table(spark, sf_dir, "pages"))
     named = F.create_map(*[x for n, h in zip(NAMES, HEADERS, strict=True) for x in (F.lit(n), F.expr(h.format(s="STRING")))])
     found = resolve_revisits(rows.withColumn("headers", F.map_filter(named, lambda k, v: v.isNotNull())))
     shown = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit(";"))))
