@@ -8,7 +8,8 @@ shards of about ``SHARD_ROWS``. Each shard runs ``EPOCHS`` passes of the online
 the shards are averaged by index in Spark. The driver gets the non-zero averages, at most ``2 ** BITS`` numbers, and broadcasts them.
 
 Defined results: a null or empty text has no features and the score of the intercept alone. Rows without a label are left out. Without any
-labelled row, or with one label only, the model is the smoothed share of label 1. Repeated rows count as often as they stand there.
+labelled row, or with one label only, the model is the smoothed share of label 1. Repeated rows count as often as they stand there. A null key goes into one
+shard with others; whether a row is held out is the caller's rule, which gives null for a null id.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,6 +132,13 @@ def fit(rows: Sequence[np.ndarray], labels: np.ndarray, rates: Rates, epochs: in
     return state.weights(slice(None))
 
 
+def _apart(df: DataFrame, shards: int) -> Column:
+    """A partitioning key for each shard such that ``repartition(shards, key)`` gives every shard a task of its own."""
+    keys = df.sparkSession.range(64 * shards).groupBy(F.pmod(F.hash("id"), F.lit(shards)).alias("part")).agg(F.min("id").alias("id")).orderBy("part").collect()
+    spread = [r["id"] for r in keys] if len(keys) == shards else list(range(shards))
+    return F.element_at(F.array(*map(F.lit, spread)), F.col("shard") + 1).cast("long")
+
+
 def train(
     labelled: DataFrame,
     grams: Grams,
@@ -170,12 +178,29 @@ def train(
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["i", "w"])
 
-    sample = sample.repartition(shards, "shard").sortWithinPartitions("shard", "k", "t", "y")
+    sample = sample.repartition(shards, _apart(labelled, shards)).sortWithinPartitions("shard", "k", "t", "y")
     averages = sample.mapInArrow(run, "i long, w double").groupBy("i").agg((F.sum("w") / shards).alias("w")).orderBy("i").toPandas()
     inside = averages["i"] < (1 << bits)
     return Model(averages["i"][inside].to_numpy(), averages["w"][inside].to_numpy(), float(averages["w"][~inside].sum()))
 
 
+def inner_losses(
+    labelled: DataFrame, grams: Grams, grid: Sequence[Rates], folds: int = 4, text: str = "text", label: str = "label", key: str = "doc_id"
+) -> list[float]:
+    """The mean log loss of each of ``grid`` on one inner fold of the labelled rows, fitted to the others.
+
+    Rates are chosen with this on training rows; rows that are held out from training never come in.
+    """
+    known = labelled.filter(F.col(label).isNotNull()).withColumn("_inner", F.pmod(F.xxhash64(key, F.lit(19)), F.lit(folds)) == 0)
+    out = []
+    for rates in grid:
+        model = train(known.filter(~F.col("_inner")), grams, rates, text, label, key)
+        y, p = F.col(label), F.col("_p")
+        found = score(known.filter("_inner"), model, grams, text, "_p")
+        out.append(found.agg(F.avg(-F.log(F.when(y == 1, p).otherwise(1 - p)))).first()[0])
+    return out
+
+
 def scores(column: pa.Array, weights: np.ndarray, bias: float, grams: Grams, bits: int = BITS) -> np.ndarray:
     """Probabilities of label 1."""
     index, owner = features(column, grams, bits)

@@ -6,4 +6,4 @@ Defined results are those of ``ftrl``.
 from gridspark.llm.ftrl import Grams, Rates
 
 GRAMS = Grams(offsets=((0,), (0, 1), (0, 1, 2)), marks=True)
-RATES = Rates(alpha=0.3, beta=1.0, l1=4.0, l2=1.0)
+RATES = Rates(alpha=1.0, beta=1.0, l1=4.0, l2=1.0)
