@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -98,8 +100,8 @@ def detector_corrector(t):
     return layer.decisions
 
 
-@query("cascade_score", "regiontype:i n:i g_q50:4 gr_q50:4 gre_q50:4")
-def cascade_score(t):
+def fitted_cascade(t):
+    """Scored rows and the regional and extreme layers."""
     rows = table(t)
     small = TreeParams(rounds=1, depth=2, rate=0.5, min_rows=20, subsample=1.0)
     models = {q: fit_quantile_trees(rows, FEATURES, "y", q, small) for q in cascade.QUANTILES}
@@ -108,10 +110,88 @@ def cascade_score(t):
     regional = cascade.train_regional(rows, layer, "y", params=small, only=[1])
     base = cut_lineage(regional.transform(layer.transform(rows)).withColumn("y_true", F.col("y")))
     extreme = cascade.train_extreme(base, FEATURES, "gr_q50", "row_id", depth=2, rounds=2, only=[0, 2])
-    scored = cascade.score_cascade(rows, layer, regional, extreme, "row_id")
+    return cascade.score_cascade(rows, layer, regional, extreme, "row_id"), regional, extreme
+
+
+@query("cascade_score", "regiontype:i n:i g_q50:4 gr_q50:4 gre_q50:4")
+def cascade_score(t):
+    scored, _, _ = fitted_cascade(t)
     return scored.groupBy("regiontype").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("g_q50", "gr_q50", "gre_q50")])
 
 
+# What every fit of these kinds must hold, beside the fitted numbers above; the counts come from the tables.
+ROWS = f"WITH {LINES}, r AS (SELECT cell_id, year, month, cell_id % 3 AS regiontype FROM lines GROUP BY ALL)"
+
+
+@query(
+    "quantile_trees_hold",
+    "q:2 n:i below_constant:s near_quantile:s",
+    f"{ROWS} SELECT q, count(*) AS n, true AS below_constant, true AS near_quantile FROM r, (VALUES (0.1), (0.9)) v(q) GROUP BY q",
+)
+def quantile_trees_hold(t):
+    """The loss falls below that of the constant, and the share of values below the prediction is near q."""
+    found = quantile_trees_fit(t)
+    return found.select("q", "n", (F.col("pinball") < F.col("constant_pinball")).alias("below_constant"), (F.abs(F.col("coverage") - F.col("q")) < 0.1).alias("near_quantile"))
+
+
+@query(
+    "penalised_trees_hold",
+    "n:i nearer:s below_constant:s",
+    f"{ROWS} SELECT count(*) AS n, true AS nearer, true AS below_constant FROM r",
+)
+def penalised_trees_hold(t):
+    """Leaf penalties leave every prediction between the start value and that of the same tree without them."""
+    rows = table(t)
+    plain = TreeParams(rounds=1, depth=3, rate=1.0, min_rows=10, subsample=1.0, bins=32)
+    a = fit_quantile_trees(rows, FEATURES, "y", 0.5, plain)
+    b = fit_quantile_trees(rows, FEATURES, "y", 0.5, replace(plain, leaf_l1=0.5, leaf_l2=20.0))
+    both = b.transform(a.transform(rows, "p"), "s")
+    start, p, s = F.lit(a.start), F.col("p"), F.col("s")
+    inside = (F.abs(s - start) <= F.abs(p - start)) & ((s - start) * (p - start) >= 0)
+    loss = [F.avg(scores.pinball(F.col("y"), c, 0.5)) for c in (s, start)]
+    return both.agg(F.count(F.lit(1)).alias("n"), F.min(inside).alias("nearer"), (loss[0] < loss[1]).alias("below_constant"))
+
+
+@query(
+    "weighted_trees_hold",
+    "n:i inside:s",
+    f"{ROWS} SELECT count(*) AS n, true AS inside FROM r",
+)
+def weighted_trees_hold(t):
+    """Weighted leaf values keep every prediction inside the range of the target."""
+    rows = cut_lineage(validation.sample_weights(table(t), "y"))
+    scored = fit_quantile_trees(rows, FEATURES, "y", 0.5, SMALL, weight="weight").transform(rows, "p")
+    return scored.agg(F.count(F.lit(1)).alias("n"), ((F.min("p") >= F.min("y")) & (F.max("p") <= F.max("y"))).alias("inside"))
+
+
+@query("param_sweep_holds", "depth:i rate:2 scored:s", "SELECT * FROM (VALUES (2, 0.5, true), (3, 0.5, true)) v(depth, rate, scored) WHERE EXISTS (SELECT 1 FROM lineitem)")
+def param_sweep_holds(t):
+    """Every cell of the grid has an error of its own."""
+    return param_sweep(t).select("depth", "rate", ((F.col("rmse") > 0) & ~F.isnan("rmse")).alias("scored"))
+
+
+@query("regional_layer_holds", "region:i adopted_by_gain:s", f"{ROWS} SELECT regiontype AS region, true AS adopted_by_gain FROM r GROUP BY regiontype")
+def regional_layer_holds(t):
+    """Every region has a decision, and none is adopted without a gain."""
+    found = regional_residual(t)
+    return found.select("region", (~F.col("adopted").cast("boolean") | (F.col("improvement_pct") > 0)).alias("adopted_by_gain"))
+
+
+@query(
+    "cascade_holds",
+    "regiontype:i n:i not_negative:s kept:s",
+    f"{ROWS} SELECT regiontype, count(*) AS n, true AS not_negative, true AS kept FROM r GROUP BY regiontype",
+)
+def cascade_holds(t):
+    """No layer predicts below 0, and regions that a layer did not adopt keep the value of the layer before."""
+    scored, regional, extreme = fitted_cascade(t)
+    region = F.col("regiontype")
+    same = (region.isin(*regional.models) if regional.models else F.lit(False)) | (F.col("gr_q50") == F.col("g_q50"))
+    kept = same & ((region.isin(*extreme.detectors) if extreme.detectors else F.lit(False)) | (F.col("gre_q50") == F.col("gr_q50")))
+    low = F.least(*[F.col(c) for c in ("g_q10", "g_q50", "g_q90", "gr_q10", "gr_q50", "gr_q90", "gre_q50")])
+    return scored.groupBy("regiontype").agg(F.count(F.lit(1)).alias("n"), F.min(low >= 0).alias("not_negative"), F.min(kept).alias("kept"))
+
+
 @query(
     "min_max_scaling",
     "cell_id:i year:i month:i a:6 b:6",

@@ -29,6 +29,23 @@ def wide_crop_grid(t):
     return report.wide_grid(stress_rows(t), ["year", "month", "cell_id"], crops=["A", "N", "R", "Z"])
 
 
+BANDS = taxonomy.BAND_ORDER
+
+
+@query(
+    "published_grid",
+    "band_order:s year:i cell_id:i " + " ".join(f"{b}:2" for b in BANDS),
+    f"""WITH {LINES}, c AS (SELECT year, cell_id, partkey % {len(BANDS) + 1} AS b, sum(qty) AS v FROM lines GROUP BY ALL)
+    SELECT '{",".join(BANDS)}' AS band_order, year, cell_id, {", ".join(f"max(v) FILTER (b = {i}) AS {b}" for i, b in enumerate(BANDS))} FROM c GROUP BY year, cell_id""",
+)
+def published_grid(t):
+    """All bands of a published grid in their fixed order, which is stated in a column; one crop has no band."""
+    band = F.element_at(F.array(*map(F.lit, [*BANDS, "other"])), (F.col("partkey") % (len(BANDS) + 1) + 1).cast("int"))
+    sums = t.lines.groupBy("year", "cell_id", band.alias("crop")).agg(F.sum("qty").alias("waterstress"))
+    wide = report.wide_grid(sums, ["year", "cell_id"])
+    return wide.withColumn("band_order", F.lit(",".join(wide.columns[2:])))
+
+
 @query(
     "yearly_by_group",
     "year:i crop:s cell_id:i waterstress:2",

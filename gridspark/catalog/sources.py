@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridspark.catalog.base import query
-from gridspark.session import ensure_checkpoint_dir
+from gridspark.operators.scale import number_rows
+from gridspark.session import cut_lineage, ensure_checkpoint_dir
 from gridspark.sources import readers, writers
 
 
@@ -81,25 +82,98 @@ def prediction_export(t):
 @query(
     "country_history",
     "crop:s year:i value:2",
-    """SELECT n_name AS crop, year(o_orderdate) AS year, round(sum(CAST(o_totalprice AS BIGINT)), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey
+    """SELECT replace(n_name, ' ', '-') AS crop, year(o_orderdate) AS year, round(sum(CAST(o_totalprice AS BIGINT)), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey
     JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""",
 )
 def country_history(t):
-    """Country files written as text, one per crop and year, and read back by their names."""
-    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    """Country files named by crop and year, in one folder a year, read by the reader of such files."""
+    folder = shared_folder(t, "history")
     named = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     year = F.year("o_orderdate")
-    file = F.concat("n_name", F.lit("_country_"), year.cast("string"), F.lit(".csv"))
+    file = F.concat(F.translate("n_name", " ", "-"), F.lit("_country_"), year.cast("string"), F.lit(".csv"))
     # Rounded half to even, as the casts of the SQL side do.
-    named.select(year.alias("y"), file.alias("file"), F.bround("o_totalprice", 0).cast("bigint").alias("waterstress")).write.partitionBy("y", "file").option(
-        "header", True
-    ).csv(folder)
-    table = t.spark.read.option("header", True).csv(folder)
-    table = table.withColumns(
-        {
-            "crop": readers.key_from_path(F.col("file"), r"^(.+)_country_\d{4}\.csv$"),
-            "year": readers.key_from_path(F.col("file"), r"_country_(\d{4})\.csv$").cast("int"),
-            "waterstress": F.expr("try_cast(waterstress as double)"),
-        }
-    )
-    return readers.sum_country_history(table)
+    rows = named.select(year.alias("y"), file.alias("file"), F.bround("o_totalprice", 0).cast("bigint").alias("waterstress"))
+    rows.repartition("y", "file").write.partitionBy("y", "file").option("header", True).csv(folder)
+    return readers.sum_country_history(readers.read_country_history(t.spark, name_files(t.spark, folder, "y", "file")))
+
+
+def shared_folder(t, name: str) -> str:
+    return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def name_files(spark, folder: str, outer: str, inner: str) -> str:
+    """Give the one file of every partition the place ``outer value/inner value`` beside the folder; returns the pattern of all of them."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = files.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in fs.globStatus(files.Path(f"{folder}/{outer}=*/{inner}=*/part-*")):
+        path = part.getPath()
+        a, b = (p.getName().partition("=")[2] for p in (path.getParent().getParent(), path.getParent()))
+        target = files.Path(f"{folder}-named/{a}/{b}")
+        fs.mkdirs(target.getParent())
+        fs.rename(path, target)
+    return f"{folder}-named/*/*_country_*.csv"
+
+
+MONTHS = range(1, 13)
+
+
+@query(
+    "matrix_source",
+    "row:i col:i value:2",
+    """WITH m AS (SELECT s_nationkey AS row, month(l_shipdate) - 1 AS col, sum(l_quantity) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
+    SELECT row, col, value FROM m WHERE value <> 0""",
+)
+def matrix_source(t):
+    """Nations by months as a matrix without header or index, read back as cells that are not 0."""
+    lines = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    sums = lines.groupBy("s_nationkey").agg(*[F.sum(F.when(F.month("l_shipdate") == m, F.col("l_quantity")).otherwise(0.0)).alias(f"m{m}") for m in MONTHS])
+    cells = [F.coalesce(F.col(f"m{m}").cast("double"), F.lit(0.0)).cast("string") for m in MONTHS]
+    full = t.nation.join(sums, F.col("n_nationkey") == F.col("s_nationkey"), "left").orderBy("n_nationkey")
+    path = shared_folder(t, "matrix")
+    full.select(F.concat_ws(",", *cells).alias("value")).write.text(path)
+    return readers.read_matrix(t.spark, path)
+
+
+@query(
+    "account_source",
+    "year:i region:i sector:i value:2",
+    """WITH q AS (SELECT year(l_shipdate) AS year, s_nationkey AS region, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS sector, l_quantity AS v
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+    SELECT year, region, sector, sum(v) AS value FROM q WHERE year BETWEEN 1995 AND 1997 GROUP BY ALL
+    UNION ALL SELECT 1996, c_nationkey, -1, sum(c_acctbal) FROM customer GROUP BY ALL""",
+)
+def account_source(t):
+    """Accounts of three years under the three names they may have, one of them with a household account (sector -1)."""
+    folder = shared_folder(t, "account")
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.groupBy(F.year("l_shipdate").alias("y"), (F.col("s_nationkey") * 3 + flag).alias("idx")).agg(F.sum("l_quantity").alias("value"))
+    rows = cut_lineage(rows)
+    rows.where("y = 1995").drop("y").write.option("header", True).csv(f"{folder}/satellite_1995.csv")
+    rows.where("y = 1996").drop("y").write.parquet(f"{folder}/Q_1996.parquet")
+    rows.where("y = 1997").drop("y").write.option("header", True).csv(f"{folder}/1997.csv")
+    t.customer.groupBy(F.col("c_nationkey").alias("region")).agg(F.sum("c_acctbal").alias("value")).write.parquet(f"{folder}/Q_Y_1996.parquet")
+    out = None
+    for year in (1995, 1996, 1997):
+        account, home = readers.read_account(t.spark, folder, year, 25, 3)
+        out = account if out is None else out.unionByName(account)
+        if home is not None:
+            out = out.unionByName(home.select(F.lit(year).alias("year"), "region", F.lit(-1).alias("sector"), "value"))
+    return out
+
+
+@query(
+    "csv_export",
+    "position:i year:i o_custkey:i value:2",
+    """WITH s AS (SELECT year(o_orderdate) AS year, o_custkey, sum(o_totalprice) AS value FROM orders GROUP BY ALL)
+    SELECT row_number() OVER (ORDER BY year, o_custkey) - 1 AS position, year, o_custkey, value FROM s""",
+)
+def csv_export(t):
+    """A sorted export with a header; the rows of its files, one after the other, are in order."""
+    path = shared_folder(t, "export")
+    sums = t.orders.groupBy(F.year("o_orderdate").alias("year"), "o_custkey").agg(F.sum("o_totalprice").alias("value"))
+    writers.write_csv(sums, path, ["year", "o_custkey"])
+    read = t.spark.read.option("header", True).schema("year int, o_custkey long, value double").csv(path)
+    placed = read.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    return number_rows(cut_lineage(placed), ["_path", "_start"], "_id", "position")

@@ -2,16 +2,18 @@
 
 Each round fits a Spark regression tree to the gradient of the pinball loss and then gives every leaf
 the quantile of its residuals. Rows stay distributed; only the leaf values (at most ``2 ** depth`` per
-round) and the trees reach the driver. Penalties on leaf values have no counterpart here.
+round) and the trees reach the driver. Leaf values may be shrunk by their number of rows, and a tree may see a drawn part of the features only.
 """
 
 from __future__ import annotations
 
 import json
+import random
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,11 @@ MISSING = -1e30
 
 @dataclass(frozen=True)
 class TreeParams:
-    """Settings of one model; the defaults are those of the global layer."""
+    """Settings of one model; the defaults are those of the global layer.
+
+    A leaf of ``n`` rows (or weight) and residual quantile ``v`` gets ``sign(v) * max(|v| - leaf_l1 / n, 0) * n / (n + leaf_l2)``. Each tree draws
+    ``columns`` of the features, one at least.
+    """
 
     rounds: int = 150
     depth: int = 8
@@ -36,6 +42,21 @@ class TreeParams:
     bins: int = 64
     seed: int = 42
     checkpoint_every: int = 5
+    leaf_l1: float = 0.0
+    leaf_l2: float = 0.0
+    columns: float = 1.0
+
+    def shrunk(self, value: float, rows: float) -> float:
+        """A leaf value under the penalties."""
+        size = max(abs(value) - self.leaf_l1 / rows, 0.0) * rows / (rows + self.leaf_l2)
+        return size if value >= 0 else -size
+
+    def drawn(self, n_features: int, tree: int) -> list[int]:
+        """The features of a tree, none for all of them."""
+        if self.columns >= 1:
+            return []
+        wanted = max(1, round(self.columns * n_features))
+        return sorted(random.Random(self.seed + tree).sample(range(n_features), wanted))
 
 
 @dataclass
@@ -48,14 +69,15 @@ class QuantileTrees:
     params: TreeParams
     trees: list[DecisionTreeRegressionModel] = field(default_factory=list)
     leaves: list[list[float]] = field(default_factory=list)
+    drawn: list[list[int]] = field(default_factory=list)
 
     def transform(self, df: DataFrame, out: str, floor_zero: bool = False) -> DataFrame:
         """Add the prediction; features the table lacks count as 0."""
         columns = df.columns
         staged = assemble(fill_missing_features(df, self.features), self.features, "_vec", MISSING)
         total = F.lit(self.start)
-        for i, (tree, values) in enumerate(zip(self.trees, self.leaves)):
-            staged = _leaf(tree, staged, "_vec", f"_leaf{i}")
+        for i, (tree, values, drawn) in enumerate(zip(self.trees, self.leaves, self.drawn)):
+            staged = _leaf(tree, staged, "_vec", f"_leaf{i}", drawn)
             total = total + _value(F.col(f"_leaf{i}"), values) * self.params.rate
         if floor_zero:
             total = F.greatest(total, F.lit(0.0))
@@ -64,8 +86,9 @@ class QuantileTrees:
     def importances(self) -> dict[str, float]:
         """Mean split importance of each feature over the trees."""
         sums = dict.fromkeys(self.features, 0.0)
-        for tree in self.trees:
-            for f, v in zip(self.features, tree.featureImportances.toArray()):
+        for tree, drawn in zip(self.trees, self.drawn):
+            names = [self.features[i] for i in drawn] or self.features
+            for f, v in zip(names, tree.featureImportances.toArray()):
                 sums[f] += float(v) / len(self.trees)
         return sums
 
@@ -73,7 +96,7 @@ class QuantileTrees:
         """Trees as Spark ML folders next to one JSON line of settings and leaf values."""
         for i, tree in enumerate(self.trees):
             tree.write().overwrite().save(f"{path}/tree={i}")
-        meta = {"features": self.features, "q": self.q, "start": self.start, "params": asdict(self.params), "leaves": self.leaves}
+        meta = {"features": self.features, "q": self.q, "start": self.start, "params": asdict(self.params), "leaves": self.leaves, "drawn": self.drawn}
         spark = _session()
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
@@ -81,7 +104,7 @@ class QuantileTrees:
     def load(cls, path: str) -> QuantileTrees:
         meta = json.loads(_session().read.text(f"{path}/meta").first()[0])
         trees = [DecisionTreeRegressionModel.load(f"{path}/tree={i}") for i in range(len(meta["leaves"]))]
-        return cls(meta["features"], meta["q"], meta["start"], TreeParams(**meta["params"]), trees, meta["leaves"])
+        return cls(meta["features"], meta["q"], meta["start"], TreeParams(**meta["params"]), trees, meta["leaves"], meta.get("drawn", [[]] * len(trees)))
 
 
 def _session():
@@ -90,7 +113,14 @@ def _session():
     return SparkSession.getActiveSession()
 
 
-def _leaf(tree, df, vector, out):
+def _sliced(df, vector, drawn):
+    """The drawn features as a vector of their own."""
+    return VectorSlicer(inputCol=vector, outputCol="_some", indices=drawn).transform(df)
+
+
+def _leaf(tree, df, vector, out, drawn=()):
+    if drawn:
+        return _leaf(tree, _sliced(df, vector, list(drawn)), "_some", out).drop("_some")
     view = tree.copy()
     view.setFeaturesCol(vector).setPredictionCol(f"{out}_p").setLeafCol(out)
     return view.transform(df).drop(f"{out}_p")
@@ -127,8 +157,10 @@ def fit_quantile_trees(
         for n in range(params.rounds):
             graded = current.withColumn("_g", F.lit(q) - (F.col("_y") < F.col("_f")).cast("double"))
             sample = graded.sample(params.subsample, seed=params.seed + n) if params.subsample < 1 else graded
+            drawn = params.drawn(len(features), n)
+            sample = _sliced(sample, "_vec", drawn) if drawn else sample
             learner = DecisionTreeRegressor(
-                featuresCol="_vec",
+                featuresCol="_some" if drawn else "_vec",
                 labelCol="_g",
                 maxDepth=params.depth,
                 maxBins=params.bins,
@@ -136,13 +168,17 @@ def fit_quantile_trees(
                 seed=params.seed + n,
             )
             tree = (learner.setWeightCol("_w") if weight else learner).fit(sample)
-            leafed = _leaf(tree, current, "_vec", "_leaf").withColumn("_r", F.col("_y") - F.col("_f"))
+            leafed = _leaf(tree, current, "_vec", "_leaf", drawn).withColumn("_r", F.col("_y") - F.col("_f"))
             # At most 2 ** depth rows.
             found = {int(r["_leaf"]): r["_q"] for r in quantiles(leafed, ["_leaf"], "_r").collect()}
+            if params.leaf_l1 or params.leaf_l2:
+                sizes = leafed.groupBy("_leaf").agg(F.sum("_w" if weight else F.lit(1.0)).alias("n")).collect()
+                found = {int(r["_leaf"]): params.shrunk(found.get(int(r["_leaf"]), 0.0), r["n"]) for r in sizes}
             values = [float(found.get(i, 0.0)) for i in range(max(found, default=0) + 1)]
             values += [0.0] * (tree.numNodes - len(values))
             model.trees.append(tree)
             model.leaves.append(values)
+            model.drawn.append(drawn)
             step = _value(F.col("_leaf"), values) * params.rate
             current = leafed.withColumn("_f", F.col("_f") + step).drop("_leaf", "_r")
             if (n + 1) % params.checkpoint_every == 0 and n + 1 < params.rounds:

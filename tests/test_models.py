@@ -44,6 +44,31 @@ def test_leaf_values_are_leaf_quantiles(table):
     assert pdf.p.nunique() > 1
 
 
+def test_leaf_penalties_shrink_leaf_quantiles(table):
+    """One round at full rate: the value of each leaf is its quantile, moved to the start value by hand-computed penalties."""
+    plain = TreeParams(rounds=1, depth=2, rate=1.0, min_rows=5, subsample=1.0)
+    penal = TreeParams(rounds=1, depth=2, rate=1.0, min_rows=5, subsample=1.0, leaf_l1=30.0, leaf_l2=50.0)
+    a, b = (fit_quantile_trees(table, ["b"], "y", 0.5, p) for p in (plain, penal))
+    pdf = b.transform(a.transform(table, "p"), "s").select("p", "s").toPandas()
+    for value, g in pdf.groupby("p"):
+        v, n = value - a.start, len(g)
+        want = np.sign(v) * max(abs(v) - 30.0 / n, 0) * n / (n + 50.0)
+        assert np.allclose(g.s, a.start + want)
+    assert penal.shrunk(-2.0, 30) == -(2 - 1) * 30 / 80 and penal.shrunk(0.5, 30) == 0.0
+
+
+def test_drawn_features(table, tmp_path):
+    params = TreeParams(rounds=6, depth=2, rate=0.5, min_rows=5, subsample=1.0, columns=0.5)
+    model = fit_quantile_trees(table, ["a", "b"], "y", 0.5, params)
+    assert all(len(d) == 1 for d in model.drawn) and {d[0] for d in model.drawn} == {0, 1}
+    assert all(t.numFeatures == 1 for t in model.trees) and set(model.importances()) == {"a", "b"}
+    model.save(str(tmp_path / "m"))
+    again = QuantileTrees.load(str(tmp_path / "m"))
+    assert again.transform(model.transform(table, "p1"), "p2").where("p1 <> p2").count() == 0
+    loss = model.transform(table, "p").agg(F.avg(scores.pinball(F.col("y"), F.col("p"), 0.5)), F.avg(scores.pinball(F.col("y"), F.lit(model.start), 0.5))).first()
+    assert loss[0] < loss[1]
+
+
 def test_save_and_load(table, tmp_path):
     model = fit_quantile_trees(table, ["a", "b"], "y", 0.5, TreeParams(rounds=2, depth=2, rate=0.5, min_rows=20, subsample=1.0))
     model.save(str(tmp_path / "m"))
