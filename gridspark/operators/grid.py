@@ -159,11 +159,13 @@ def merge_sources(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFram
     """Outer merge on the keys.
 
     Sources are stacked and folded by one aggregation: a single shuffle however many there are,
-    with map-side combine, where chained outer joins would shuffle once per source.
+    with map-side combine, where chained outer joins would shuffle once per source. Of several values for a
+    key the one of the earliest source stays.
     """
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
-    values = [c for c in stacked.columns if c not in keys]
-    return stacked.groupBy(*keys).agg(*[F.first(v, ignorenulls=True).alias(v) for v in values])
+    numbered = [source.withColumn("_source", F.lit(n)) for n, source in enumerate(sources)]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+    values = [c for c in stacked.columns if c not in keys and c != "_source"]
+    return stacked.groupBy(*keys).agg(*[F.min_by(v, F.when(F.col(v).isNotNull(), F.col("_source"))).alias(v) for v in values])
 
 
 def merge_available(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,10 +44,6 @@ def country_lookup(edges: DataFrame, names: DataFrame, step: float, n_lon: int)
     )
 
 
-def attach(df: DataFrame, lookup: DataFrame, on: Sequence[str] = ("cell_id",), how: str = "left") -> DataFrame:
-    return df.join(lookup, list(on), how)
-
-
 def country_months(df: DataFrame, lookup: DataFrame, value: str = "waterstress") -> DataFrame:
     """Country sums per month; cells outside every country drop out.
 

@@ -12,6 +12,10 @@ from gridspark.functions import taxonomy
 from gridspark.operators.scale import null_safe_join, one_row, share_of, spearman
 
 
+# So many categories can be columns of one table.
+MAX_CATEGORIES = 1000
+
+
 def wide_grid(df: DataFrame, keys: Sequence[str], value: str = "waterstress", crops: Sequence[str] = tuple(taxonomy.BAND_ORDER)) -> DataFrame:
     """One column per crop in the fixed order of published grids; absent crops are NULL."""
     return df.groupBy(*keys).agg(*[F.first(F.when(F.col("crop") == c, F.col(value)), ignorenulls=True).alias(c) for c in crops])
@@ -77,10 +81,12 @@ def share_tables(flows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def share_pivot(shares: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
-    """One percent column per category, 0 where absent. Without a list, every category found gets its column: a table has so
-    many of them as can be columns, and their names are read to build the plan."""
+    """One percent column per category, 0 where absent. Without a list, every category found gets its column; more than
+    ``MAX_CATEGORIES`` are an error."""
     if categories is None:
-        categories = [r["cat"] for r in shares.select("cat").distinct().orderBy("cat").collect()]
+        categories = [r["cat"] for r in shares.select("cat").distinct().orderBy("cat").limit(MAX_CATEGORIES + 1).collect()]
+        if len(categories) > MAX_CATEGORIES:
+            raise ValueError(f"more than {MAX_CATEGORIES} categories; name those that are wanted")
     picks = [F.sum(F.when(F.col("cat") == c, F.col("percent")).otherwise(0.0)).alias(c) for c in categories]
     return shares.groupBy("scope", "panel").agg(*picks)
 
