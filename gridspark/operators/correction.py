@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators.scale import exact_quantiles, lookup_join, null_safe_join, top_by
+from gridspark.operators.scale import exact_quantiles, lexicographic_cuts, lookup_join, null_safe_join, plain
 from gridspark.session import cut_lineage
 
 
@@ -68,32 +68,49 @@ def bounded_correction(
 ) -> DataFrame:
     """Apply corrections to the most likely rows within limits, per key.
 
-    Rows at or above the probability threshold are eligible; beyond ``max_share`` of all rows only the
-    most probable are corrected (ties by ``row_id``). A correction is cut to a share of its base; if
+    Rows at or above the probability threshold are eligible (NaN, infinity and NULL are not); beyond ``max_share`` of all rows only the
+    most probable are corrected (ties by ``row_id``, a whole number). A correction is cut to a share of its base; if
     the total would move by more than ``tolerance`` all corrections shrink by one factor; negative
-    results become 0 last. The input is materialised once, because totals, cut and result each read it.
+    results become 0 last. The input is materialised once, because totals, cut and result each read it. The last corrected row of a key
+    is its cut; rows are chosen by comparing with it, so that nothing is joined back row by row.
     """
     df = cut_lineage(df)
-    size = df.count()
-    counts = df.groupBy(*keys).agg(
-        F.floor(F.count(F.lit(1)) * max_share).alias("_cap"), F.sum(base).alias("_sum_base")
+    eligible = F.coalesce((F.col(prob) >= threshold) & (F.col(prob) < float("inf")), F.lit(False))
+    chance = F.when(eligible, F.col(prob))
+    counts = cut_lineage(
+        df.groupBy(*keys).agg(
+            F.floor(F.count(F.lit(1)) * max_share).alias("_limit"),
+            F.sum(base).alias("_sum_base"),
+            F.count(chance).alias("_eligible"),
+            F.min(chance).alias("_lo"),
+            F.max(chance).alias("_hi"),
+        )
     )
-    eligible = df.where(F.col(prob) >= threshold).select(*keys, row_id, prob)
-    limited = lookup_join(eligible, counts.select(*keys, "_cap"), keys, "inner")
-    chosen = top_by(limited, keys, prob, row_id, "_cap", "_chosen", size=size).where("_chosen").select(*keys, row_id, "_chosen")
-    marked = null_safe_join(df, chosen, [*keys, row_id], "left")
+    # Keys with more eligible rows than may be corrected.
+    over = (F.col("_limit") > 0) & (F.col("_eligible") > F.col("_limit"))
+    size = counts.where(over).agg(F.sum("_eligible")).first()[0] or 0
+    if size:
+        cuts = lexicographic_cuts(df.where(eligible), keys, prob, row_id, counts.where(over), rows=size)
+        counts = cut_lineage(null_safe_join(counts, cuts, keys, "left"))
+    else:
+        counts = counts.withColumns({"_cut": F.lit(None).cast("double"), "_cut_id": F.lit(None).cast("bigint")})
+    marked = lookup_join(df, counts.select(*keys, "_limit", "_cut", "_cut_id"), keys, "inner", stored=True)
+    value = plain(F.col(prob))
+    above = F.col("_cut").isNull() | (value > F.col("_cut")) | ((value == F.col("_cut")) & (F.col(row_id) <= F.col("_cut_id")))
     limit = F.abs(base) * max_relative
     bounded = F.greatest(-limit, F.least(limit, F.col(correction)))
-    staged = marked.withColumn("_step", F.when(F.col("_chosen"), bounded).otherwise(0.0))
+    chosen = eligible & (F.col("_limit") > 0) & above
+    staged = marked.select(*df.columns, F.coalesce(chosen, F.lit(False)).alias("corrected"))
+    staged = staged.withColumn("_step", F.when(F.col("corrected"), bounded).otherwise(0.0))
     change = staged.groupBy(*keys).agg(F.sum("_step").alias("_change"))
-    limits = null_safe_join(counts, change, keys, "inner")
+    limits = null_safe_join(counts.select(*keys, "_sum_base"), change, keys, "inner")
     allowed = F.abs("_sum_base") * tolerance
     factor = F.when(
         (F.col("_sum_base") > 0) & (F.abs("_change") > allowed), allowed / F.abs("_change")
     ).otherwise(1.0)
     joined = lookup_join(staged, limits.select(*keys, factor.alias("_factor")), keys, "inner")
     value = F.greatest(F.col(base) + F.col("_step") * F.col("_factor"), F.lit(0.0))
-    return joined.withColumns({out: value, "corrected": F.coalesce("_chosen", F.lit(False))}).drop("_chosen", "_step", "_factor")
+    return joined.withColumn(out, value).select(*df.columns, out, "corrected")
 
 
 def correction_summary(df: DataFrame, keys: Sequence[str], base: str, out: str, prob: str, threshold: float = 0.6) -> DataFrame:

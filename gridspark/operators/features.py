@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridspark.functions import calendar, geo, taxonomy
-from gridspark.operators.scale import exact_quantiles, keep_last, lookup_join, one_row
+from gridspark.operators.scale import exact_quantiles, keep_last, lookup_join, null_safe_join, one_row, small_side
+from gridspark.session import cut_lineage
 
 
 def month_mask(target: DataFrame, value: str = "waterstress") -> DataFrame:
@@ -85,17 +86,30 @@ def impute_medians(df: DataFrame, value: str, levels: Sequence[Sequence[str]], f
 
     ``levels`` are key lists; an empty list is the global median. ``fit`` restricts the rows the
     medians are taken from.
+
+    The rows are read once as distinct values with counts per combination of all keys. Medians of every level come from these counts,
+    where missing values are filled level by level; the rows themselves are read once more, to meet the medians of all levels.
     """
-    filled = df
-    for keys in levels:
-        basis = filled if fit is None else filled.where(fit)
-        medians = exact_quantiles(basis, keys, value, {"_median": 0.5})
-        if keys:
-            joined = lookup_join(filled, medians, keys, "left")
-            filled = joined.withColumn(value, F.coalesce(value, "_median")).drop("_median")
-        else:
-            filled = filled.withColumn(value, F.coalesce(F.col(value), medians.select("_median").scalar()))
-    return filled
+    names = list(dict.fromkeys(k for keys in levels for k in keys))
+    fits = F.lit(1) if fit is None else F.coalesce(fit, F.lit(False)).cast("int")
+    held = df.select(*names, F.col(value).cast("double").alias("_value"), fits.alias("_fit"))
+    counts = cut_lineage(held.groupBy(*names, "_value").agg(F.sum("_fit").alias("_n")))
+    size, found = counts.count(), []
+
+    def fill(rows: DataFrame, column: str) -> DataFrame:
+        columns = rows.columns
+        for i, (keys, medians) in enumerate(found):
+            rows = null_safe_join(rows, medians.withColumnRenamed("_median", f"_median{i}"), keys, "left")
+        first = F.coalesce(column, *[f"_median{i}" for i in range(len(found))])
+        return rows.select(*[first.alias(c) if c == column else F.col(c) for c in columns])
+
+    for level, keys in enumerate(levels, 1):
+        basis = fill(counts, "_value").where(F.col("_value").isNotNull() & (F.col("_n") > 0))
+        medians = exact_quantiles(basis, keys, "_value", {"_median": 0.5}, rows=size, count="_n")
+        if keys or level < len(levels):
+            medians = cut_lineage(medians)
+        found.append((keys, small_side(medians) if keys else medians))
+    return fill(df, value)
 
 
 def add_time_features(df: DataFrame, date: str) -> DataFrame:

@@ -108,16 +108,19 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 LOOKUP_ROWS = 10_000
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def small_side(stored: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it is counted to have at most ``LOOKUP_ROWS`` rows."""
+    return F.broadcast(stored) if stored.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else stored
+
+
+def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, stored: bool = False) -> DataFrame:
     """``null_safe_join`` with one row per key on the right.
 
-    The right side is materialised and counted: up to ``LOOKUP_ROWS`` rows it is broadcast, so that facts are not shuffled on a few
-    keys; beyond, both sides are shuffled. The result is the same.
+    The right side is materialised (unless it is ``stored`` already) and counted: up to ``LOOKUP_ROWS`` rows it is broadcast, so that
+    facts are not shuffled on a few keys; beyond, both sides are shuffled. The result is the same.
     """
     if keys:
-        right = cut_lineage(right)
-        if right.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
-            right = F.broadcast(right)
+        right = small_side(right if stored else cut_lineage(right))
     return null_safe_join(left, right, keys, how)
 
 
@@ -221,15 +224,17 @@ def exact_quantiles(
     quantiles: dict[str, float],
     range_rows: int = RANGE_ROWS,
     rows: int | None = None,
+    count: str | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per key, exact at any group size.
 
-    The input is read once, as distinct values with counts. A sketch cuts the values into ranges (one, if they are few), masses per
+    The input is read once, as distinct values with counts (``count`` names a column of them, if the rows are counted already). A sketch cuts the values into ranges (one, if they are few), masses per
     range tell which ranges hold the positions asked for, and only those are put in order. ``rows`` is a known upper bound of the
     row count and saves counting.
     """
-    clean = df.select(*keys, plain(F.col(value)).alias(value)).where(F.col(value).isNotNull())
-    values = value_masses(clean, keys, value)
+    counted = [] if count is None else [F.col(count)]
+    clean = df.select(*keys, plain(F.col(value)).alias(value), *counted).where(F.col(value).isNotNull())
+    values = value_masses(clean, keys, value, *counted)
     if rows is None or rows > range_rows:
         values = cut_lineage(values)
     cuts = range_cuts(values, value, range_rows, rows)
@@ -317,30 +322,58 @@ def spearman(
     return sums.select(*keys, F.when(spread > 0, F.col("_sxy") / spread).alias(out))
 
 
-def top_by(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    tiebreak: str,
-    limit: str,
-    out: str,
-    range_rows: int = RANGE_ROWS,
-    size: int | None = None,
+# Slices of a bracket that are counted at a time.
+SLICES = 1024
+
+
+def lexicographic_cuts(
+    df: DataFrame, keys: Sequence[str], value: str, tiebreak: str, limits: DataFrame, range_rows: int = RANGE_ROWS, rows: int | None = None
 ) -> DataFrame:
-    """Flag the ``limit`` rows per key with the largest ``value``; ties go to the smallest ``tiebreak``.
+    """The last of the ``_limit`` rows per key with the largest ``value``, ties by the smallest ``tiebreak``: ``keys, _cut, _cut_id``.
 
-    ``limit`` is a per-key column and ``tiebreak`` a whole number below 2^53, unique within the key.
-    Values above the cut need no order; only the rows tied at the cut are ranked among themselves.
-    ``size`` is a known upper bound of the row count.
+    ``limits`` is a stored table with one row per key: ``keys, _limit, _lo, _hi``, where ``_limit`` is at least 1 and at most the number of
+    rows of the key, and all values lie within ``_lo`` and ``_hi``; other keys of ``df`` are left out. ``value`` is a finite number,
+    ``tiebreak`` a whole number, unique within the key. ``rows`` is a known upper bound of the rows of these keys.
+
+    The cut is found by brackets. While the rows in all brackets are more than one task should order, each bracket is cut into slices
+    that are only counted (one row per key and slice is exchanged), and the slice that holds the cut is the next bracket; a bracket of
+    one value goes on with the tiebreak. Only the rows of the last brackets are put in order.
     """
-    size = df.count() if size is None else size
-    rows = df.withColumns({"_v": plain(F.col(value)), "_t": plain(F.col(tiebreak))})
-    cut = cumulative_mass(rows.select(*keys, "_v"), keys, "_v", descending=True, range_rows=range_rows, rows=size).drop("total")
-    staged = null_safe_join(rows, cut, [*keys, "_v"], "left")
-    whole = F.col("before") + F.col("mass") <= F.col(limit)
-    partial = (F.col("before") < F.col(limit)) & ~whole
-    ties = staged.where(partial).select(*keys, "_t")
-    order = cumulative_mass(ties, keys, "_t", range_rows=range_rows, rows=size).select(*keys, "_t", F.col("before").alias("_tie"))
-    flagged = null_safe_join(staged, order, [*keys, "_t"], "left")
-    chosen = whole | (partial & (F.col("before") + F.col("_tie") < F.col(limit)))
-    return flagged.withColumn(out, F.coalesce(chosen, F.lit(False))).drop("before", "mass", "_tie", "_v", "_t")
+    values = df.select(*keys, plain(F.col(value)).alias("_v"), F.col(tiebreak).cast("bigint").alias("_t"))
+    lo, hi, tlo, thi = (F.col(c) for c in ("_lo", "_hi", "_tlo", "_thi"))
+    unset = F.lit(None).cast("bigint")
+    brackets = limits.select(
+        *keys, F.col("_limit").cast("bigint").alias("_need"), plain(lo).alias("_lo"), plain(hi).alias("_hi"), unset.alias("_tlo"), unset.alias("_thi")
+    )
+
+    def bracketed() -> DataFrame:
+        met = lookup_join(values, brackets, keys, "inner", stored=True)
+        return met.where(F.col("_v").between(lo, hi) & (tlo.isNull() | F.col("_t").between(tlo, thi)))
+
+    left = rows
+    while left is None or left > range_rows:
+        # First come large values and, within one value, small tiebreaks: both get the high slices.
+        width, id_width = hi - lo, thi.cast("double") - tlo.cast("double")
+        place = F.when(width > 0, (F.col("_v") - lo) / width).when(id_width > 0, (thi.cast("double") - F.col("_t").cast("double")) / id_width)
+        slice_no = F.least(F.floor(F.coalesce(place, F.lit(0.0)) * SLICES), F.lit(SLICES - 1))
+        slices = bracketed().groupBy(*keys, slice_no.alias("_slice")).agg(
+            F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need"),
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.min("_t").alias("_tlo"), F.max("_t").alias("_thi"),
+        )
+        # At most SLICES rows per key.
+        order = Window.partitionBy(*keys).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        run = slices.withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
+        held = run.where((F.col("_before") < F.col("_need")) & (F.col("_need") <= F.col("_before") + F.col("_n")))
+        need, one = F.col("_need") - F.col("_before"), lo == hi
+        brackets = cut_lineage(
+            held.select(*keys, need.alias("_need"), "_lo", "_hi", F.when(one, tlo).alias("_tlo"), F.when(one, thi).alias("_thi"), "_n")
+        )
+        before, left = left, brackets.agg(F.sum("_n")).first()[0] or 0
+        brackets = brackets.drop("_n")
+        if left == before:
+            # The first round knows no tiebreaks yet, so a bracket of one value may stay as it is once.
+            if not brackets.where((lo < hi) | (id_width > 0)).limit(1).count():
+                break
+    order = Window.partitionBy(*keys).orderBy(F.col("_v").desc(), F.col("_t").asc())
+    numbered = bracketed().withColumn("_number", F.row_number().over(order))
+    return numbered.where(F.col("_number") == F.col("_need")).select(*keys, F.col("_v").alias("_cut"), F.col("_t").alias("_cut_id"))

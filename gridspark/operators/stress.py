@@ -47,41 +47,62 @@ def nearest_station(
 ) -> DataFrame:
     """Euclidean-nearest station per point; equal distances go to the smallest station id.
 
-    Points and stations meet through a quadtree. Level by level a box of points keeps the station
+    Points and stations meet through a pyramid of boxes. Points are read twice: for their distinct positions, and for the answer. Boxes
+    are aggregated once, at the deepest level; those above are rolled up from them. Level by level a box of points keeps the station
     boxes that may still hold its nearest station: those whose smallest possible distance does not
     exceed the best guaranteed distance. Only boxes are joined on the way down; points join stations
     once, at the level where no station box holds more than ``leaf`` distinct positions (or at
     ``max_depth``), so neither a crowded box of points nor one of stations is paired off as a whole.
     """
     where = stations.groupBy(F.col(x).alias("sx"), F.col(y).alias("sy")).agg(F.min(station_id).alias(station_id))
-    spots = points.select(F.col(x).alias("px"), F.col(y).alias("py")).distinct()
+    spots = cut_lineage(points.select(F.col(x).alias("px"), F.col(y).alias("py")).distinct())
     bounds = where.select("sx", "sy").unionByName(spots.select(F.col("px").alias("sx"), F.col("py").alias("sy")))
     x0, x1, y0, y1 = bounds.agg(F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
     if x0 is None:
-        return points.select(point_id).limit(0).select(point_id, F.lit(None).cast("bigint").alias(station_id))
+        empty = [F.lit(None).cast("bigint").alias(station_id), F.lit(None).cast("double").alias("distance")]
+        return points.select(point_id).limit(0).select(point_id, *empty)
     size = max(x1 - x0, y1 - y0, 1e-9) * (1 + 1e-9)
 
     def box(coord: Column, origin: float, level: int) -> Column:
         return F.floor((coord - origin) / (size / 2**level)).cast("int")
 
-    levels = where.select("sx", "sy", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("level"))
-    side = F.lit(size) / F.pow(F.lit(2.0), F.col("level"))
-    crowds = levels.groupBy("level", F.floor((F.col("sx") - x0) / side), F.floor((F.col("sy") - y0) / side)).count()
-    fine = crowds.groupBy("level").agg(F.max("count").alias("n")).where(F.col("n") <= leaf)
+    def up(coord: Column, levels: Column) -> Column:
+        return F.floor(coord / F.pow(F.lit(2.0), levels)).cast("int")
+
+    deep = where.groupBy(box(F.col("sx"), x0, max_depth).alias("i"), box(F.col("sy"), y0, max_depth).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    levels = deep.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("level"))
+    above = F.lit(max_depth) - F.col("level")
+    crowds = levels.groupBy("level", up(F.col("i"), above), up(F.col("j"), above)).agg(F.sum("n").alias("n"))
+    fine = crowds.groupBy("level").agg(F.max("n").alias("n")).where(F.col("n") <= leaf)
     depth = fine.agg(F.min("level")).first()[0]
     depth = max_depth if depth is None else depth
 
-    # Down to this level a box of points looks at all station boxes, a fixed number.
-    start = min(depth, 3)
-    pairs = None
-    for level in range(start, depth + 1):
-        # Box tables carry the true extent of their content, which prunes better than the box itself.
-        p_box = spots.groupBy(box(F.col("px"), x0, level).alias("pi"), box(F.col("py"), y0, level).alias("pj")).agg(
+    # Box tables carry the true extent of their content, which prunes better than the box itself.
+    p_deep = cut_lineage(
+        spots.groupBy(box(F.col("px"), x0, depth).alias("pi"), box(F.col("py"), y0, depth).alias("pj")).agg(
             F.min("px").alias("pa"), F.max("px").alias("pb"), F.min("py").alias("pc"), F.max("py").alias("pd")
         )
-        s_box = where.groupBy(box(F.col("sx"), x0, level).alias("si"), box(F.col("sy"), y0, level).alias("sj")).agg(
+    )
+    s_deep = cut_lineage(
+        where.groupBy(box(F.col("sx"), x0, depth).alias("si"), box(F.col("sy"), y0, depth).alias("sj")).agg(
             F.min("sx").alias("sa"), F.max("sx").alias("sb"), F.min("sy").alias("sc"), F.max("sy").alias("sd")
         )
+    )
+
+    def rolled(deepest: DataFrame, level: int) -> DataFrame:
+        """The boxes of a level, from those of the deepest one."""
+        if level == depth:
+            return deepest
+        i, j, a, b, c, d = deepest.columns
+        return deepest.groupBy(F.shiftright(i, depth - level).alias(i), F.shiftright(j, depth - level).alias(j)).agg(
+            F.min(a).alias(a), F.max(b).alias(b), F.min(c).alias(c), F.max(d).alias(d)
+        )
+
+    # Down to this level a box of points looks at all station boxes, a fixed number.
+    start = min(depth, 3)
+    pairs = None
+    for level in range(start, depth + 1):
+        p_box, s_box = rolled(p_deep, level), rolled(s_deep, level)
         if pairs is None:
             numbers = F.sequence(F.lit(0), F.lit(2**level - 1))
             met = p_box.select("*", F.explode(numbers).alias("si")).select("*", F.explode(numbers).alias("sj"))

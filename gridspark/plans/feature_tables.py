@@ -35,7 +35,7 @@ def build_features(
     df = features.add_location(features.add_time_features(df, "time"))
     df = features.join_lookup(features.join_indices(df, indices), coarse)
     if "twsan" in df.columns:
-        # Each level of medians reads the rows again.
+        # Read for the medians and for the rows that get them.
         df = features.impute_medians(cut_lineage(df), "twsan", [keys, ["crop", "year", "month"], ["crop"]])
     df = features.add_lags(df, keys, "time", lag_columns)
     df = features.add_rolling(df, keys, "time", roll_columns)

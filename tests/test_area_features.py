@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -75,6 +77,28 @@ def test_imputation_order(frame):
     assert out[(1, 3)] == 2.0 and out[(2, 1)] == 1.0 and out[(3, 9)] == 1.5
 
 
+@pytest.mark.parametrize("fitted", [False, True])
+def test_imputation_brute_force(spark, fitted):
+    """Levels that do not nest, null keys, rows outside of the fit; every level sees what the ones before filled."""
+    rng = np.random.default_rng(7)
+    n = 600
+    pdf = pd.DataFrame({"id": np.arange(n), "a": rng.integers(0, 40, n), "b": rng.integers(0, 6, n), "v": np.round(rng.normal(0, 5, n), 1), "f": rng.random(n) < 0.5})
+    pdf.loc[(rng.random(n) < 0.3) | (pdf.a % 5 == 0) | ((pdf.b == 5) & (pdf.a % 2 == 0)), "v"] = np.nan
+    table = [(r.id, None if r.a == 7 else int(r.a), int(r.b), None if np.isnan(r.v) else r.v, bool(r.f)) for r in pdf.itertuples()]
+    df = spark.createDataFrame(table, "id bigint, a int, b int, v double, f boolean")
+    levels = [["a", "b"], ["a"], ["b"], []]
+    got = dict(rows(features.impute_medians(df, "v", levels, F.col("f") if fitted else None), "id", "v"))
+    values = [r[3] for r in table]
+    for keys in levels:
+        groups = {}
+        key = [tuple(dict(a=r[1], b=r[2])[k] for k in keys) for r in table]
+        for k, v, r in zip(key, values, table):
+            if v is not None and (r[4] or not fitted):
+                groups.setdefault(k, []).append(v)
+        values = [v if v is not None else (float(np.median(groups[k])) if k in groups else None) for k, v in zip(key, values)]
+    assert len(got) == n and all(v is not None and abs(got[i] - v) < 1e-9 for i, v in enumerate(values))
+
+
 def test_asof(frame):
     ref = frame([(1, 2015, 5.0), (1, 2018, 8.0)], "cell_id int, year int, ha double")
     want = frame([(1, 2019), (1, 2017), (1, 2014), (1, 2022)], "cell_id int, year int")

@@ -54,15 +54,21 @@ def test_spearman_matches_ranks(skewed, limit):
         assert np.isclose(got[k], g.v.rank().corr(g.u.rank()))
 
 
-@pytest.mark.parametrize("limit", [20, 10_000])
-def test_top_by_ties_go_to_small_ids(skewed, limit):
+@pytest.mark.parametrize("limit, known", [(1, True), (20, False), (10_000, True)])
+@pytest.mark.parametrize("tied", [False, True])
+def test_cuts_ties_go_to_small_ids(skewed, limit, known, tied):
+    """A bracket of one row, of twenty, and no bracket at all; with a hot key of one value as well."""
     pdf, df = skewed
-    with_cap = df.withColumn("cap", F.when(F.col("k") == 0, 150).otherwise(3))
-    got = {r[0] for r in scale.top_by(with_cap, ["k"], "v", "id", "cap", "pick", range_rows=limit).where("pick").select("id").collect()}
-    expected = set()
+    if tied:
+        pdf, df = pdf.assign(v=0.5), df.withColumn("v", F.lit(0.5))
+    wanted = F.when(F.col("k") == 0, 150).otherwise(3)
+    limits = df.groupBy("k").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")).withColumn("_limit", wanted)
+    cuts = scale.lexicographic_cuts(df, ["k"], "v", "id", limits, range_rows=limit, rows=len(pdf) if known else None)
+    expected = {}
     for k, g in pdf.groupby("k"):
-        expected |= set(g.sort_values(["v", "id"], ascending=[False, True]).head(150 if k == 0 else 3).id)
-    assert got == expected
+        last = g.sort_values(["v", "id"], ascending=[False, True]).iloc[(150 if k == 0 else 3) - 1]
+        expected[k] = (last.v, last.id)
+    assert {r["k"]: (r["_cut"], r["_cut_id"]) for r in cuts.collect()} == expected
 
 
 def test_keep_first_and_last(frame):
