@@ -13,7 +13,6 @@ from itertools import product
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,8 @@ from pyspark.sql import functions as F
 from gridspark.functions import scores, taxonomy
 from gridspark.operators import correction, evaluation, validation
 from gridspark.operators.features import assemble, fill_missing_features
-from gridspark.operators.quantile_trees import MISSING, QuantileTrees, TreeParams, fit_quantile_trees, fit_quantiles
+from gridspark.operators.forest import Forest, walk
+from gridspark.operators.quantile_trees import MISSING, QuantileTrees, TreeParams, fit_quantile_trees, fit_quantiles, predict_all
 from gridspark.operators.scale import literal_rows
 from gridspark.session import cut_lineage
 
@@ -56,9 +56,8 @@ class GlobalLayer:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``g_q10, g_q50, g_q90``, all at least 0."""
-        for q, model in self.models.items():
-            df = model.transform(df, f"g_q{round(q * 100)}", floor_zero=True)
-        return df
+        features = next(iter(self.models.values())).features
+        return predict_all(df, features, {f"g_q{round(q * 100)}": model for q, model in self.models.items()}, floor_zero=True)
 
 
 @dataclass
@@ -69,22 +68,22 @@ class RegionalLayer:
 
     def transform(self, df: DataFrame, region: str = "regiontype") -> DataFrame:
         """Add ``gr_q10, gr_q50, gr_q90``: the global value plus the residual in adopted regions."""
-        names = [f"q{round(q * 100)}" for q in QUANTILES]
-        for n in names:
-            df = df.withColumn(f"gr_{n}", F.col(f"g_{n}"))
+        names = {q: f"q{round(q * 100)}" for q in QUANTILES}
         if not self.models:
-            return df
-        # Each row goes to the model of its own region; the rows are read once per adopted region.
-        df = cut_lineage(df)
-        out = df.where(F.col(region).isNull() | ~F.col(region).isin(*self.models))
+            return df.withColumns({f"gr_{n}": F.col(f"g_{n}") for n in names.values()})
+        # Each row walks the trees of its own region.
+        forest, numbers = Forest(), {n: {} for n in names.values()}
         for key, models in self.models.items():
-            own = df.where(F.col(region) == key)
             for q, model in models.items():
-                n = f"q{round(q * 100)}"
-                fixed = F.greatest(F.col(f"g_{n}") + F.col("_r"), F.lit(0.0))
-                own = model.transform(own, "_r").withColumn(f"gr_{n}", fixed).drop("_r")
-            out = out.unionByName(own)
-        return out
+                numbers[names[q]][key] = model.add_to(forest)
+        features = next(iter(self.models.values()))[0.5].features
+        staged = fill_missing_features(df, features)
+        found = staged.withColumn("_walked", walk(staged, forest, features, numbers, MISSING, region))
+        out = []
+        for n in names.values():
+            residual, base = F.col("_walked")[n], F.col(f"g_{n}")
+            out.append(F.when(residual.isNull(), base).otherwise(F.greatest(base + residual, F.lit(0.0))).alias(f"gr_{n}"))
+        return found.select(*df.columns, *out)
 
 
 @dataclass
@@ -97,22 +96,24 @@ class ExtremeLayer:
 
     def transform(self, df: DataFrame, row_id: str, region: str = "regiontype", base: str = "gr_q50") -> DataFrame:
         """Add ``gre_q50``: the bounded correction of each adopted region."""
-        rows = assemble(fill_missing_features(df, self.features), self.features, "_vec", MISSING)
-        rows = rows.withColumns({"_prob": F.lit(0.0), "_corr": F.lit(0.0)})
-        for key, detector in self.detectors.items():
-            rows = _predict_extreme(rows, detector, self.correctors[key], F.col(region) == key)
-        fixed = correction.bounded_correction(
-            rows.drop("_vec"), [region], row_id, base, "_prob", "_corr", out="gre_q50", **self.limits
-        )
+        rows = _predict_extreme(df, self.features, self.detectors, self.correctors, region)
+        fixed = correction.bounded_correction(rows, [region], row_id, base, "_prob", "_corr", out="gre_q50", **self.limits)
         return fixed.drop("_prob", "_corr", "corrected")
 
 
-def _predict_extreme(rows, detector, corrector, where):
-    scored = detector.copy().setFeaturesCol("_vec").transform(rows)
-    scored = scored.withColumn("_prob", F.when(where, vector_to_array("probability")[1]).otherwise(F.col("_prob")))
-    scored = scored.drop("rawPrediction", "probability", "prediction")
-    scored = corrector.copy().setFeaturesCol("_vec").transform(scored)
-    return scored.withColumn("_corr", F.when(where, F.col("prediction")).otherwise(F.col("_corr"))).drop("prediction")
+def _predict_extreme(df, features, detectors, correctors, region):
+    """Add the probability and the correction of the models of each row's region; 0 where there are none."""
+    forest, numbers = Forest(), {"margin": {}, "step": {}}
+    for key, detector in detectors.items():
+        for name, model in (("margin", detector), ("step", correctors[key])):
+            trees = [(tree.toDebugString, None, weight, ()) for tree, weight in zip(model.trees, model.treeWeights)]
+            numbers[name][key] = forest.add_model(trees)
+    staged = fill_missing_features(df, features)
+    found = staged.withColumn("_walked", walk(staged, forest, features, numbers, MISSING, region))
+    # The classifier's trees add up to half of the log odds.
+    chance = 1 / (1 + F.exp(-2 * F.col("_walked")["margin"]))
+    zero = F.lit(0.0)
+    return found.select(*df.columns, F.coalesce(chance, zero).alias("_prob"), F.coalesce(F.col("_walked")["step"], zero).alias("_corr"))
 
 
 def _parts(df, folds, fold, date):
@@ -194,8 +195,7 @@ def train_global(
             best = replace(params, **chosen)
         models = fit_quantiles(train, features, y, best, quantiles, weight)
         rows = test.withColumn("_y", F.col(y))
-        for q, model in models.items():
-            rows = model.transform(rows, PREDICTIONS[q], floor_zero=True)
+        rows = predict_all(rows, features, {PREDICTIONS[q]: model for q, model in models.items()}, floor_zero=True)
         kept = [c for c in keep if c in df.columns]
         named = [F.col(PREDICTIONS[q]) for q in quantiles]
         part = rows.select(
@@ -286,8 +286,7 @@ def train_regional(
             for fold in _fold_numbers(folds):
                 train, test = _parts(mine, folds, fold, plan.date)
                 fitted = fit_quantiles(train, layer.features, "_res", best, QUANTILES, weight)
-                for q, model in fitted.items():
-                    test = model.transform(test, f"_r{round(q * 100)}")
+                test = predict_all(test, layer.features, {f"_r{round(q * 100)}": model for q, model in fitted.items()})
                 combined = {
                     PREDICTIONS[q]: F.greatest(F.col(f"g_q{round(q * 100)}") + F.col(f"_r{round(q * 100)}"), F.lit(0.0))
                     for q in QUANTILES
@@ -385,8 +384,9 @@ def train_extreme(
     for key in sorted(facts):
         fact, mine = facts[key], rows.where(F.col(region) == key)
         if only is not None:
-            if key in only:
-                detectors[key] = fit_detector(mine, "is_under", depth, rounds)
+            detector = fit_detector(mine, "is_under", depth, rounds) if key in only else None
+            if detector is not None:
+                detectors[key] = detector
                 correctors[key] = fit_corrector(mine.where("is_under"), "_res", depth, rounds)
             continue
         reason = None
@@ -412,7 +412,7 @@ def train_extreme(
         if corrector_grid:
             repair, _ = sweep(corrector_grid, lambda c: _corrector_cv(mine, folds, plan.date, {**setting, **c}))
             repair = {**setting, **repair}
-        table = _extreme_folds(mine, folds, plan.date, region, row_id, y, base, setting, repair, limits)
+        table = _extreme_folds(mine, folds, plan.date, features, key, region, row_id, y, base, setting, repair, limits)
         if table is None:
             records.append((key, False, "no_cv_metrics", None))
             continue
@@ -448,7 +448,7 @@ def _corrector_cv(mine, folds, date, setting):
     return sum(values) / len(values) if values else None
 
 
-def _extreme_folds(mine, folds, date, region, row_id, y, base, setting, repair, limits):
+def _extreme_folds(mine, folds, date, features, key, region, row_id, y, base, setting, repair, limits):
     """Fold metrics of the corrected prediction."""
     out = None
     for fold in _fold_numbers(folds):
@@ -458,8 +458,8 @@ def _extreme_folds(mine, folds, date, region, row_id, y, base, setting, repair,
         if detector is None or not under.limit(1).count():
             continue
         corrector = fit_corrector(under, "_res", **repair)
-        scored = _predict_extreme(test.withColumns({"_prob": F.lit(0.0), "_corr": F.lit(0.0)}), detector, corrector, F.lit(True))
-        fixed = correction.bounded_correction(scored.drop("_vec"), [region], row_id, base, "_prob", "_corr", "_new", **limits)
+        scored = _predict_extreme(test.drop("_vec"), features, {key: detector}, {key: corrector}, region)
+        fixed = correction.bounded_correction(scored, [region], row_id, base, "_prob", "_corr", "_new", **limits)
         old, new = scores.core_scores(F.col(y), F.col(base)), scores.core_scores(F.col(y), F.col("_new"))
         tail = F.col("is_high")
         old_tail = F.sqrt(F.avg(F.when(tail, (F.col(base) - F.col(y)) ** 2)))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.operators.features import assemble, fill_missing_features
+from gridspark.operators.forest import Forest, walk
 from gridspark.operators.scale import exact_quantiles, weighted_quantile
 from gridspark.session import cut_lineage
 
@@ -71,17 +72,14 @@ class QuantileTrees:
     leaves: list[list[float]] = field(default_factory=list)
     drawn: list[list[int]] = field(default_factory=list)
 
+    def add_to(self, forest: Forest) -> int:
+        """Put the trees into a node table; returns the number of the model there."""
+        trees = [(t.toDebugString, v, self.params.rate, d) for t, v, d in zip(self.trees, self.leaves, self.drawn)]
+        return forest.add_model(trees, self.start)
+
     def transform(self, df: DataFrame, out: str, floor_zero: bool = False) -> DataFrame:
         """Add the prediction; features the table lacks count as 0."""
-        columns = df.columns
-        staged = assemble(fill_missing_features(df, self.features), self.features, "_vec", MISSING)
-        total = F.lit(self.start)
-        for i, (tree, values, drawn) in enumerate(zip(self.trees, self.leaves, self.drawn)):
-            staged = _leaf(tree, staged, "_vec", f"_leaf{i}", drawn)
-            total = total + _value(F.col(f"_leaf{i}"), values) * self.params.rate
-        if floor_zero:
-            total = F.greatest(total, F.lit(0.0))
-        return staged.select(*columns, total.alias(out))
+        return predict_all(df, self.features, {out: self}, floor_zero)
 
     def importances(self) -> dict[str, float]:
         """Mean split importance of each feature over the trees."""
@@ -107,6 +105,16 @@ class QuantileTrees:
         return cls(meta["features"], meta["q"], meta["start"], TreeParams(**meta["params"]), trees, meta["leaves"], meta.get("drawn", [[]] * len(trees)))
 
 
+def predict_all(df: DataFrame, features: Sequence[str], models: dict[str, QuantileTrees], floor_zero: bool = False) -> DataFrame:
+    """Add the predictions of several models of the same features in one pass; features the table lacks count as 0."""
+    forest = Forest()
+    numbers = {name: model.add_to(forest) for name, model in models.items()}
+    staged = fill_missing_features(df, features)
+    found = staged.withColumn("_walked", walk(staged, forest, features, numbers, MISSING))
+    values = {n: F.greatest(F.col("_walked")[n], F.lit(0.0)) if floor_zero else F.col("_walked")[n] for n in models}
+    return found.select(*[c for c in df.columns if c not in values], *[v.alias(n) for n, v in values.items()])
+
+
 def _session():
     from pyspark.sql import SparkSession
 

@@ -1,11 +1,15 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from gridspark.functions import scores
 from gridspark.operators import cascade
-from gridspark.operators.quantile_trees import QuantileTrees, TreeParams, fit_quantile_trees
+from gridspark.operators.features import assemble
+from gridspark.operators.forest import Forest, walk, walker
+from gridspark.operators.quantile_trees import MISSING, QuantileTrees, TreeParams, fit_quantile_trees
 
 PARAMS = TreeParams(rounds=3, depth=3, rate=0.6, min_rows=5, bins=16, subsample=1.0)
 
@@ -123,6 +127,35 @@ def test_extreme_layer_limits(table):
     assert 0 < changed <= int(288 * 0.05)
 
 
+def test_flat_trees_match_the_tree_models(table):
+    """Regression trees and boosted models of the library, walked in the node table; rows without a model get none."""
+    rows = assemble(table, ["a", "b"], "_vec", MISSING).withColumn("hi", (F.col("y") > 5).cast("double"))
+    booster = GBTRegressor(featuresCol="_vec", labelCol="y", maxDepth=3, maxIter=4, predictionCol="want").fit(rows)
+    classes = GBTClassifier(featuresCol="_vec", labelCol="hi", maxDepth=2, maxIter=3, predictionCol="c").fit(rows)
+    nodes = Forest()
+    numbers = [nodes.add_model([(t.toDebugString, None, w, ()) for t, w in zip(m.trees, m.treeWeights)]) for m in (booster, classes)]
+    walked = walk(rows, nodes, ["a", "b"], {"v": {2: numbers[0]}, "m": numbers[1]}, MISSING, "regiontype")
+    scored = classes.transform(booster.transform(rows)).withColumn("w", walked).toPandas()
+    own = scored.regiontype == 2
+    assert own.any() and np.allclose([r["v"] for r in scored.w[own]], scored.want[own], rtol=0, atol=1e-12)
+    assert all(r["v"] is None or np.isnan(r["v"]) for r in scored.w[~own])
+    assert np.allclose([1 / (1 + np.exp(-2 * r["m"])) for r in scored.w], [p[1] for p in scored.probability])
+    x = np.random.default_rng(1).random((100, 2))
+    assert (walker(7)(nodes.arrays(), 0, x) == walker()(nodes.arrays(), 0, x)).all() and len(walker()(nodes.arrays(), 0, x[:0])) == 0
+
+
+def test_scoring_plan_does_not_grow_with_trees_and_regions(table):
+    small = fit_quantile_trees(table, ["a", "b"], "y", 0.5, TreeParams(rounds=1, depth=2, min_rows=5, subsample=1.0))
+    many = QuantileTrees(small.features, 0.5, small.start, small.params, small.trees * 40, small.leaves * 40, small.drawn * 40)
+
+    def lines(model, regions):
+        layer = cascade.RegionalLayer({r: dict.fromkeys(cascade.QUANTILES, model) for r in range(1, regions + 1)}, None, None)
+        base = table.withColumns({f"g_q{q}": F.lit(1.0) for q in (10, 50, 90)})
+        return len(layer.transform(base)._jdf.queryExecution().optimizedPlan().toString())
+
+    assert abs(lines(small, 1) - lines(many, 20)) < 50
+
+
 def test_sweep_and_combinations():
     grid = {"b": [1, 2], "a": [10, 20]}
     assert cascade.combinations(grid)[0] == {"a": 10, "b": 1} and len(cascade.combinations(grid)) == 4
