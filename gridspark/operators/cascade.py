@@ -23,6 +23,7 @@ from gridspark.operators.features import assemble, fill_missing_features
 from gridspark.operators.forest import Forest, walk
 from gridspark.operators.quantile_trees import MISSING, QuantileTrees, TreeParams, fit_quantile_trees, fit_quantiles, predict_all
 from gridspark.operators.scale import literal_rows
+from gridspark.operators.together import GrownTrees
 from gridspark.session import cut_lineage
 
 QUANTILES = (0.1, 0.5, 0.9)
@@ -106,6 +107,9 @@ def _predict_extreme(df, features, detectors, correctors, region):
     forest, numbers = Forest(), {"margin": {}, "step": {}}
     for key, detector in detectors.items():
         for name, model in (("margin", detector), ("step", correctors[key])):
+            if isinstance(model, GrownTrees):
+                numbers[name][key] = model.add_to(forest)
+                continue
             trees = [(tree.toDebugString, None, weight, ()) for tree, weight in zip(model.trees, model.treeWeights)]
             numbers[name][key] = forest.add_model(trees)
     staged = fill_missing_features(df, features)
@@ -211,7 +215,7 @@ def train_global(
     fold_scores = oof.groupBy("fold").agg(
         *[e.alias(n) for n, e in scores.core_scores(F.col("y_true"), F.col("y_pred")).items()]
     )
-    final = _average(params, tuned, fold_scores) if grid else params
+    final = average_settings(params, tuned, fold_scores) if grid else params
     return GlobalLayer(features, fit_quantiles(df, features, y, final, quantiles, weight), oof, fold_scores, importance, final)
 
 
@@ -225,7 +229,7 @@ def _inner_rmse(placed, inner_folds, features, y, params):
     return sum(values) / len(values) if values else None
 
 
-def _average(params, tuned, fold_scores):
+def average_settings(params, tuned, fold_scores):
     """Inverse-RMSE mean of the parameters of the three best folds."""
     rmse = {r["fold"]: r["rmse"] for r in fold_scores.select("fold", "rmse").collect()}
     names = ("rounds", "depth", "rate", "min_rows", "subsample")
@@ -448,6 +452,19 @@ def _corrector_cv(mine, folds, date, setting):
     return sum(values) / len(values) if values else None
 
 
+def fold_changes(y: str, base: str, new: str) -> list:
+    """What a correction does to a fold: the columns that ``correction.adoption_scores`` reads. High rows are marked by ``is_high``."""
+    before, after = scores.core_scores(F.col(y), F.col(base)), scores.core_scores(F.col(y), F.col(new))
+    old_tail, new_tail = (F.sqrt(F.avg(F.when(F.col("is_high"), (F.col(c) - F.col(y)) ** 2))) for c in (base, new))
+    return [
+        (-scores.improvement_pct(before["rmse"], after["rmse"])).alias("rmse_change_pct"),
+        scores.improvement_pct(old_tail, new_tail).alias("extreme_improvement_pct"),
+        F.when(F.sum(base) > 0, F.sum(new) / F.sum(base)).otherwise(1.0).alias("conservation_ratio"),
+        before["r2"].alias("r2_base"),
+        after["r2"].alias("r2_final"),
+    ]
+
+
 def _extreme_folds(mine, folds, date, features, key, region, row_id, y, base, setting, repair, limits):
     """Fold metrics of the corrected prediction."""
     out = None
@@ -460,17 +477,7 @@ def _extreme_folds(mine, folds, date, features, key, region, row_id, y, base, se
         corrector = fit_corrector(under, "_res", **repair)
         scored = _predict_extreme(test.drop("_vec"), features, {key: detector}, {key: corrector}, region)
         fixed = correction.bounded_correction(scored, [region], row_id, base, "_prob", "_corr", "_new", **limits)
-        old, new = scores.core_scores(F.col(y), F.col(base)), scores.core_scores(F.col(y), F.col("_new"))
-        tail = F.col("is_high")
-        old_tail = F.sqrt(F.avg(F.when(tail, (F.col(base) - F.col(y)) ** 2)))
-        new_tail = F.sqrt(F.avg(F.when(tail, (F.col("_new") - F.col(y)) ** 2)))
-        part = fixed.agg(
-            (-scores.improvement_pct(old["rmse"], new["rmse"])).alias("rmse_change_pct"),
-            scores.improvement_pct(old_tail, new_tail).alias("extreme_improvement_pct"),
-            F.when(F.sum(base) > 0, F.sum("_new") / F.sum(base)).otherwise(1.0).alias("conservation_ratio"),
-            old["r2"].alias("r2_base"),
-            new["r2"].alias("r2_final"),
-        )
+        part = fixed.agg(*fold_changes(y, base, "_new"))
         part = cut_lineage(part)
         out = part if out is None else out.unionByName(part)
     return out

@@ -38,6 +38,23 @@ class Forest:
         self.roots.append([self._add_tree(*tree) for tree in trees])
         return len(self.starts) - 1
 
+    def add_heaps(self, trees: Sequence[tuple[Sequence[int], Sequence[float], Sequence[float]]], start: float = 0.0) -> int:
+        """Add a model whose trees are arrays by heap number (feature or -1, largest value that goes left, value of a leaf); root 1."""
+        self.starts.append(float(start))
+        self.roots.append([self._add_heap(tree, 1) for tree in trees])
+        return len(self.starts) - 1
+
+    def _add_heap(self, tree, node) -> int:
+        place, (split, below, value) = len(self.split), tree
+        inner = split[node] >= 0
+        self.split.append(int(split[node]))
+        self.threshold.append(float(below[node] if inner else value[node]))
+        self.right.append(-1)
+        if inner:
+            self._add_heap(tree, 2 * node)
+            self.right[place] = self._add_heap(tree, 2 * node + 1)
+        return place
+
     def _add_tree(self, text, leaves, weight, drawn) -> int:
         root, open_nodes, leaf = len(self.split), [], 0
         for line in text.splitlines():
