@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridspark.session import tune
 
-MODULES = ["grids", "areas", "feature_tables", "model_scores", "accounts", "chains", "reports", "models", "sources"]
+MODULES = ["grids", "areas", "feature_tables", "model_scores", "accounts", "chains", "reports", "models", "together", "sources"]
 
 
 @dataclass(frozen=True)
