@@ -47,8 +47,8 @@ def country_lookup(edges: DataFrame, names: DataFrame, step: float, n_lon: int)
 def country_months(df: DataFrame, lookup: DataFrame, value: str = "waterstress") -> DataFrame:
     """Country sums per month; cells outside every country drop out.
 
-    Cells are summed per month before the lookup join.
+    Cells are summed per month before the lookup join. The lookup has a row per cell and is shuffled.
     """
     keys = [c for c in ("crop", "year", "month") if c in df.columns]
     per_cell = df.groupBy("cell_id", *keys).agg(F.sum(value).alias(value))
-    return per_cell.join(lookup, "cell_id").groupBy("iso3", "country", *keys).agg(F.sum(value).alias(value))
+    return per_cell.join(lookup.hint("merge"), "cell_id").groupBy("iso3", "country", *keys).agg(F.sum(value).alias(value))

@@ -156,12 +156,13 @@ def water_stress(
 ) -> DataFrame:
     """Blue-water footprint times the scarcity weight of its month and cell.
 
-    Crop and year limits are plain filters on the partition columns, so they prune files.
+    Crop and year limits are plain filters on the partition columns, so they prune files. There are as many weights as cells and
+    months, whatever Catalyst takes their size for (rows made by ``explode`` count as one), so the join shuffles both sides.
     """
     kept = footprint
     if crops is not None:
         kept = kept.where(F.col("crop").isin(*crops))
     if years is not None:
         kept = kept.where(F.col("year").between(*years))
-    joined = kept.join(weights.select("month", "cell_id", weight), ["month", "cell_id"])
+    joined = kept.join(weights.select("month", "cell_id", weight).hint("merge"), ["month", "cell_id"])
     return joined.select("crop", "year", "month", "cell_id", (F.col(value) * F.col(weight)).alias("waterstress"))

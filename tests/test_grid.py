@@ -176,3 +176,17 @@ def test_station_grid(frame):
     stations = frame([(5, 1.0, 1.0), (6, 9.0, 9.0)], "station_id int, lon double, lat double")
     factors = frame([(5, 1, 0.5), (6, 1, 2.0)], "station_id int, month int, factor double")
     assert rows(stress.station_grid(cells, stations, factors)) == [(1, 1, 0.5), (1, 2, 2.0)]
+
+
+def test_stress_broadcasts_no_cells(spark, tmp_path):
+    """Weights of many cells and months in a small file, and a lookup of cells: neither is gathered on the driver."""
+    spark.range(1, 3001).withColumnRenamed("id", "cell_id").coalesce(1).write.parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    months = cells.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    weights = months.withColumn("monthly_weight", F.col("month") * 0.5)
+    footprint = months.select(F.lit("wh").alias("crop"), F.lit(2000).alias("year"), "month", "cell_id", F.lit(2.0).alias("wfp_blue_ir"))
+    lookup = cells.select("cell_id", (F.col("cell_id") % 2).cast("string").alias("iso3"), F.lit("x").alias("country"))
+    out = polygons.country_months(stress.water_stress(footprint, weights), lookup)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+    assert rows(out, "iso3", "month", "waterstress") == [(i, m, 1500.0 * m) for i in "01" for m in range(1, 13)]
