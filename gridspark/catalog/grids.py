@@ -22,8 +22,8 @@ def cell_weights(t):
 
 
 def footprint(t):
-    """Quantities per crop, month and customer cell."""
-    placed = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    """Quantities per crop, month and customer cell. Orders grow with their lines, so both are shuffled."""
+    placed = t.lineitem.join(t.orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     return placed.groupBy(
         F.col("l_returnflag").alias("crop"),
         F.year("l_shipdate").alias("year"),

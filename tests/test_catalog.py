@@ -4,6 +4,8 @@ import os
 
 import duckdb
 import pytest
+from helpers import rows
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gridspark.catalog import entries
@@ -75,3 +77,15 @@ def test_scans_are_pruned(spark):
     assert all("l_comment" not in s for s in schemas)
     lineitem = next(s for s in schemas if "l_quantity" in s).split("\n")[0]
     assert "l_tax" not in lineitem and "l_extendedprice" not in lineitem
+
+
+def test_crop_years_broadcast_nothing(spark, tmp_path):
+    """Orders, and the weights of customers: both grow with the data and are shuffled, however small their files are."""
+    spark.range(1, 401).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    orders = spark.range(800).select(F.col("id").alias("o_orderkey"), (F.col("id") % 400 + 1).alias("o_custkey"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    lines = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.lit("A").alias("l_returnflag"), F.lit(3.0).alias("l_quantity"), F.lit("1997-05-02").cast("timestamp").alias("l_shipdate"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = QUERIES["stress_of_crop_years"](spark, str(tmp_path))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out) == [("A", 1997, 5, c, round(6.0 * ((c * 7 + 15) % 10 + 1) / 10, 4)) for c in range(1, 401)]
