@@ -10,6 +10,7 @@ from gridspark.operators import cascade
 from gridspark.operators.features import assemble
 from gridspark.operators.forest import Forest, walk, walker
 from gridspark.operators.quantile_trees import MISSING, QuantileTrees, TreeParams, fit_quantile_trees
+from gridspark.session import cut_lineage
 
 PARAMS = TreeParams(rounds=3, depth=3, rate=0.6, min_rows=5, bins=16, subsample=1.0)
 
@@ -169,3 +170,19 @@ def test_prediction_filters(frame):
     seen = frame([("wh", 1, 2015, 1), ("oac", 9, 2015, 1), ("wh", 1, 1999, 2)], "crop string, cell_id int, year int, month int")
     out = cascade.prediction_filters(rows, area, seen, bypass=["oac"])
     assert sorted(tuple(r) for r in out.select("crop", "cell_id", "month").collect()) == [("oac", 9, 1), ("wh", 1, 1)]
+
+
+def test_rows_of_a_fold_are_not_shuffled(spark, table):
+    """A lookup of dates goes to the rows, whatever Catalyst takes its size for; tasks of a fit do not follow the shuffle partitions."""
+    stored = cut_lineage(table.repartition(3))
+    folds = cascade._folds(stored, cascade.FoldPlan("time", 12, 12))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = [(part, part._jdf.queryExecution().executedPlan().toString()) for part in cascade._parts(stored, folds, 1, "time")]
+        assert all("SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan for _, plan in parts)
+        months = [sorted(r[0].isoformat()[:7] for r in part.select("time").distinct().collect()) for part, _ in parts]
+        assert [part.count() for part, _ in parts] == [24 * 12, 12 * 12]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert (months[0][0], months[0][-1], months[1][0], months[1][-1]) == ("2000-01", "2001-12", "2002-01", "2002-12")
