@@ -10,6 +10,7 @@ from gridspark.operators import cascade
 from gridspark.operators.features import assemble
 from gridspark.operators.forest import Forest, walk, walker
 from gridspark.operators.quantile_trees import MISSING, QuantileTrees, TreeParams, fit_quantile_trees
+from gridspark.operators.scale import few_tasks
 from gridspark.session import cut_lineage
 
 PARAMS = TreeParams(rounds=3, depth=3, rate=0.6, min_rows=5, bins=16, subsample=1.0)
@@ -186,3 +187,24 @@ def test_rows_of_a_fold_are_not_shuffled(spark, table):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert (months[0][0], months[0][-1], months[1][0], months[1][-1]) == ("2000-01", "2001-12", "2002-01", "2002-12")
+
+
+def test_tasks_of_a_fit_follow_its_rows(spark, table):
+    """A table in many small partitions: it is stored by as many tasks, but the passes of the rounds have a task for each core at most."""
+    sc, cores = spark.sparkContext, spark.sparkContext.defaultParallelism
+    many = cut_lineage(table.repartition(6 * cores))
+    packed = few_tasks(many)
+    assert packed.rdd.getNumPartitions() == cores and sorted(map(tuple, packed.select("row_id").collect())) == [(i,) for i in range(576)]
+    wide = []
+    for rounds in (1, 3):
+        sc.setJobGroup(f"rounds {rounds}", "")
+        try:
+            fit_quantile_trees(many, ["b"], "y", 0.5, TreeParams(rounds=rounds, depth=2, min_rows=5, subsample=1.0))
+        finally:
+            sc.setJobGroup("other", "")
+        found = sc.statusTracker()
+        stages = {s for j in found.getJobIdsForGroup(f"rounds {rounds}") for s in found.getJobInfo(j).stageIds}
+        tasks = [found.getStageInfo(s).numTasks for s in stages if found.getStageInfo(s)]
+        assert len(tasks) > 8 * rounds
+        wide.append(sum(n > cores for n in tasks))
+    assert wide[0] == wide[1] <= 3, wide
